@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import WORD, broadcast_if, cut, read, record
+from quarry.llm.shared import SPACE, broadcast_if, cut, pieces, read, record
 
 WEIGHTS = (5, 2, 1)
 
@@ -33,10 +33,6 @@ def seeded(seed: int, *cols) -> Column:
     return F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("bigint")
 
 
-def word_count(text) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
-
-
 def sainte_lague(votes: DataFrame, group: list[str], key: list[str], vote: str, seats: str) -> DataFrame:
     """group, key, quota: `seats` (one number for each group) given out by the highest quotients, ties by key.
 
@@ -77,7 +73,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = 3) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int = 32, shard_docs: int = 256, max_shards: int = 4096, seed: int = 17, carry: bool = False) -> DataFrame:
     """For each row: doc_id, size, source_size, target, taken; with carry also rec, all columns of docs."""
-    raw = docs.select(record(docs), F.col("doc_id").alias("id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
+    raw = docs.select(record(docs), F.col("doc_id").alias("id"), F.col("source").alias("source"), pieces(F.col("text"), SPACE).alias("size"))
     sizes = cut(raw.select("id", "source", "size"))
     rows = raw if carry else sizes.withColumn("rec", F.lit(None))
     plan = cut(targets(sizes, weights, most))

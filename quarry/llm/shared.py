@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +60,13 @@ def running_sum(lengths: Column, chunk: int = 256) -> Column:
     return F.when(F.size(lengths) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(parts))
 
 
+def pieces(text: Column, separator: str) -> Column:
+    """How many non-empty pieces a text has between matches of the separator, as long; null: 0."""
+    parts = F.split(text, separator, -1)
+    n = F.size(parts) - (F.get(parts, F.lit(0)) == "").cast("int") - (F.element_at(parts, -1) == "").cast("int")
+    return F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("bigint")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case and nothing else; lower() is the quick way where no other letters are."""
     upper = "".join(map(chr, range(65, 91)))
