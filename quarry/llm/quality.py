@@ -97,9 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> tuple[np.ndar
             found = [text_features(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "quality": pdf["quality"], "ids": [a.tobytes() for a, _ in found], "counts": [b.tobytes() for _, b in found]})
 
-    rows = texts.mapInPandas(shorten, "doc_id string, quality int, ids binary, counts binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["ids"]), bytes(r["counts"])))
-    rows = rows[:sample]  # rows of documents that repeat could be more
+    # rows of documents that repeat could be more than were chosen
+    rows = texts.mapInPandas(shorten, "doc_id string, quality int, ids binary, counts binary").orderBy("doc_id", "ids", "counts").limit(sample).collect()
     return train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32), r["quality"]) for r in rows])
 
 

@@ -14,7 +14,7 @@ BUCKET fingerprints are dealt out once more by quarters of the bits outside thei
 Components come from alternating large-star and small-star steps on links, as joins and aggregates, until nothing changes.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0, which is linked like any other; fewer
-than 3 words are one shingle; a null doc_id is left out of the smallest id, and a component of only such has null; rows
+than 3 words are one shingle; a null doc_id comes after all others, so a component of only such has null; rows
 that repeat are copies; an empty table gives an empty result; other columns pass through or are not read.
 """
 
@@ -198,30 +198,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """id, fp of each row, written once as computing them is the costly part."""
-    return cut(docs.select(F.col("doc_id").alias("id"), fingerprint_of(F.col("text")).alias("fp")))
+    """id, tk (hash of the text), fp of each row, written once as computing them is the costly part."""
+    return cut(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), fingerprint_of(F.col("text")).alias("fp")))
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """fp, component_id for each different fingerprint."""
-    least = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    """fp, component (no_id, id, tk of its first row) for each different fingerprint; a null id comes last."""
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tk"))
+    least = cut(prints.groupBy("fp").agg(first.alias("least")))
     roots = cut(components(links(least.select("fp"))))
     of_root = roots.join(least, roots["v"] == least["fp"]).groupBy("root").agg(F.min("least").alias("component"))
     known = roots.join(of_root, "root").select(F.col("v").alias("fp"), "component")
-    return least.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    return least.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of each row."""
     prints = fingerprints(docs)
-    return prints.join(grouped(prints), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return prints.join(grouped(prints), "fp").select(F.col("id").alias("doc_id"), "fp", F.col("component.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The columns of docs, with one row of each component: the one with the smallest doc_id."""
-    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.select(record(docs), F.col("doc_id").alias("id"))
-    one = rows.join(found, rows["id"].eqNullSafe(F.col("kept")), "left_semi").groupBy("id").agg(F.first("rec").alias("rec"))
+    """The columns of docs, with one row of each component: the one with the smallest doc_id, then the smallest hash of the text."""
+    key = [F.coalesce("id", F.lit(0)).alias("k1"), F.col("id").isNull().alias("k2"), F.col("tk").alias("k3")]
+    kept = grouped(fingerprints(docs)).select("component.*").select(*key).distinct()
+    rows = docs.select(record(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk")).select("rec", *key)
+    # rows that share both are repeats of one document; the group by uses the join's partitioning
+    one = rows.join(kept, ["k1", "k2", "k3"], "left_semi").groupBy("k1", "k2", "k3").agg(F.first("rec").alias("rec"))
     return one.select("rec.*")
 
 
