@@ -22,17 +22,27 @@ def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+SPLIT = ("__file", "__start")
+
+
+def with_split(files: DataFrame) -> DataFrame:
+    """A table just read from files, with the file and the place in it that each row's split starts at."""
+    return files.withColumns({"__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start")})
+
+
 def with_position(df: DataFrame, order: list[str] | None = None, name: str = "pos") -> DataFrame:
-    """Numbers all rows from 0 in the order of `order`, or as the source gives them, without moving them to one task.
+    """Numbers all rows from 0 in the order of `order`, or in file order after with_split(), without moving them to one task.
 
-    Rows are numbered inside each partition, and a table of partition sizes (a row for each partition) gives the offsets.
+    Rows are numbered inside each range or split, where they stand; a table of the sizes of these (a row for each) gives the offsets.
     """
+    columns, by = [c for c in df.columns if c not in SPLIT], [c for c in SPLIT if c in df.columns]
     if order:
         n = max(1, df.rdd.getNumPartitions())
-        df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = cut(df.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    # the lower 33 bits of the monotonic id count the rows of a partition
-    at = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(before), "__part").select(*df.columns, (F.col("__before") + at).cast("bigint").alias(name))
+        df, by = df.repartitionByRange(n, *order).sortWithinPartitions(*order), []
+    if not by:
+        df, by = df.withColumn("__part", F.spark_partition_id()), ["__part"]
+    placed = cut(df.withColumn("__at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = broadcast_if(cut(sizes.select(*by, (before - F.col("__first")).alias("__shift"))), 1_000_000)
+    return placed.join(offsets, by).select(*columns, (F.col("__shift") + F.col("__at")).cast("bigint").alias(name))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.plan import cut, with_position
+from quarry.functions.plan import SPLIT, cut, with_position, with_split
 from quarry.functions.vectors import one_hot
 
 
@@ -66,7 +66,7 @@ def standardize(df: DataFrame, columns: list[str], part: str | None = "part") ->
 def read_csv(spark: SparkSession, path: str, validation: float = 0, test: float = 0, scale: bool = True) -> DataFrame:
     """id, part, label, x (array<double>), onehot of a headerless CSV whose column 0 is the label."""
     raw = spark.read.option("inferSchema", "false").csv(path)
-    rows = raw.select(F.col("_c0").cast("double").cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in raw.columns[1:]])
+    rows = with_split(raw).select(*SPLIT, F.col("_c0").cast("double").cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in raw.columns[1:]])
     rows = split_in_order(rows, validation, test)
     if scale:
         rows = standardize(rows, raw.columns[1:])

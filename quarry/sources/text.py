@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.plan import with_position
+from quarry.functions.plan import SPLIT, with_position, with_split
 
 DELIMITERS = r"[ :,\t\r]+"
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
@@ -35,7 +35,7 @@ def pairs(values: Column) -> Column:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """id, t (array of numbers) of each line that holds a token."""
-    df = spark.read.text(path).select(tokens("value").alias("t")).filter(F.size("t") > 0)
+    df = with_split(spark.read.text(path)).select(*SPLIT, tokens("value").alias("t")).filter(F.size("t") > 0)
     return with_position(df, name="id").select("id", "t")
 
 
@@ -62,14 +62,14 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """id, features, norm_sq of `index:value` lines; blank lines and those that start with # are skipped."""
-    df = spark.read.text(path).filter(~F.col("value").startswith("#")).select(tokens("value").alias("t")).filter(F.size("t") > 0)
+    df = with_split(spark.read.text(path)).filter(~F.col("value").startswith("#")).select(*SPLIT, tokens("value").alias("t")).filter(F.size("t") > 0)
     rows = with_position(df, name="id").select("id", pairs(F.col("t")).alias("features"))
     return rows.withColumn("norm_sq", F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x["val"] * x["val"]))
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """i, j, w: line i (from 0, all lines count) holds `j:w` entries."""
-    df = with_position(spark.read.text(path), name="i").select("i", pairs(tokens("value")).alias("f"))
+    df = with_position(with_split(spark.read.text(path)), name="i").select("i", pairs(tokens("value")).alias("f"))
     return df.select("i", F.inline("f").alias("j", "w")).select("i", F.col("j").cast("bigint").alias("j"), "w")
 
 

@@ -56,6 +56,17 @@ def test_positions(spark):
     assert with_position(df.limit(0), ["x"]).count() == 0
 
 
+def test_file_order(spark, tmp_path):
+    for k in range(3):  # the later a file, the larger: Spark reads large ones first
+        (tmp_path / f"f{k}.txt").write_text("".join(f"{k} {i}\n" + "\n" * (i % 2) for i in range(40 * (k + 1))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97b")
+    try:
+        rows = text.lines(spark, str(tmp_path)).orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r["t"]) for r in rows] == [(k, i) for k in range(3) for i in range(40 * (k + 1))] and [r["id"] for r in rows] == list(range(240))
+
+
 def test_sparse_vectors(spark):
     df = spark.createDataFrame([([(1, 2.0), (3, 1.0)], [(1, 1.0), (2, 4.0)]), ([], [(2, 3.0)]), ([], [])], "a array<struct<idx:int,val:double>>, b array<struct<idx:int,val:double>>")
     got = df.select(V.sparse_dot("a", "b").alias("d"), V.sparse_sq_dist("a", "b").alias("s"), V.densify("a", 3).alias("x")).collect()
