@@ -16,15 +16,16 @@ every score is 0.5; rows that repeat get the same score each; other columns pass
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import read, record
+from quarry.llm.shared import read, record, short_batches
 
-BUCKETS, DIMS, CACHE = 1 << 15, 12, 200_000
+BUCKETS, DIMS, CACHE = 1 << 15, 12, 100_000
 #: How many features a word 2-gram of the same word twice counts for.
 REPEATED = 8
 
@@ -90,7 +91,7 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> tuple[np.ndarray, float]:
     chosen = labels.filter(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "id")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "quality", "text")
+    texts = short_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "quality", "text")
 
     def shorten(batches):  # a text comes down to at most BUCKETS counts
         for pdf in batches:
@@ -108,31 +109,32 @@ def scorer(model: tuple[np.ndarray, float]):
     raw = numbers.tobytes()
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        own, known = np.frombuffer(raw), {}
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            tokens = (text or "").split()
-            n = REPEATED * sum(map(str.__eq__, tokens[1:], tokens))
-            total = n * own[REPEAT]
-            for t in tokens:
-                got = known.get(t)
-                if got is None:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    ids = token_features(t)
-                    got = known[t] = (float(own[ids].sum()), len(ids))
-                total += got[0]
-                n += got[1]
-            out[i] = bias + (total / n if n else 0.0)
-        return pd.Series(1 / (1 + np.exp(-np.clip(out, -700, 700))))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own, known = np.frombuffer(raw), {}  # known words serve all batches of a task
+        for texts in batches:
+            out = np.empty(len(texts))
+            for i, text in enumerate(texts):
+                tokens = (text or "").split()
+                n = REPEATED * sum(map(str.__eq__, tokens[1:], tokens))
+                total = n * own[REPEAT]
+                for t in tokens:
+                    got = known.get(t)
+                    if got is None:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        ids = token_features(t)
+                        got = known[t] = (float(own[ids].sum()), len(ids))
+                    total += got[0]
+                    n += got[1]
+                out[i] = bias + (total / n if n else 0.0)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(out, -700, 700))))
 
     return score
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
     """rec (the columns of docs) and score."""
-    return docs.select(record(docs), scorer(model)(F.col("text")).alias("score"))
+    return short_batches(docs).select(record(docs), scorer(model)(F.col("text")).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

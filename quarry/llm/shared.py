@@ -27,6 +27,14 @@ def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def short_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """df, whose session sends Python at most so many rows at once from now on: texts can be long, and memory is bounded so."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def record(df: DataFrame) -> Column:
     """All columns of a row as one struct, so that names of the operator's own cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rec")

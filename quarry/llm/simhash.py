@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import cut, read, record
+from quarry.llm.shared import cut, read, record, short_batches
 
 BITS, MOST = 64, 3
 EDGES = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
@@ -199,7 +199,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """id, tk (hash of the text), fp of each row, written once as computing them is the costly part."""
-    return cut(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), fingerprint_of(F.col("text")).alias("fp")))
+    return cut(short_batches(docs).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), fingerprint_of(F.col("text")).alias("fp")))
 
 
 def grouped(prints: DataFrame) -> DataFrame:
