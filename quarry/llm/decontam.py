@@ -97,8 +97,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove
     gaps = F.split("text", NOT_WORD_RAW.replace("[", "[^", 1), -1)  # between words; each run of them is one match
     raw = F.array_remove(F.split("text", NOT_WORD_RAW), "")
     kept = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), F.col("hit"))
-    joined = F.concat(F.array_join(F.transform(kept, lambda i: F.concat(F.get(gaps, i), F.get(raw, i))), ""), F.element_at(gaps, -1))
-    return with_text(marked, docs.columns, F.when(F.size("hit") == 0, F.col("text")).otherwise(joined))
+    parts = marked.select("rec", "text", "hit", F.when(F.size("hit") > 0, gaps).alias("gaps"), F.when(F.size("hit") > 0, raw).alias("raw"), F.when(F.size("hit") > 0, kept).alias("kept"))
+    # kept stands here twice, so Spark leaves the splits in a step of their own and does not repeat them for each word
+    joined = F.concat(F.array_join(F.transform("kept", lambda i: F.concat(F.get("gaps", i), F.get("raw", i))), ""), F.element_at("gaps", -1))
+    return with_text(parts, docs.columns, F.when(F.col("kept").isNull(), F.col("text")).otherwise(joined))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
