@@ -171,7 +171,7 @@ def _sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), b AS ({" UNION ALL ".join(parts)})
 SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone,
-  sha256(coalesce(string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, k), '')) AS base_sha256 FROM d LEFT JOIN b USING (doc_id) GROUP BY doc_id
+  sha256(coalesce(string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, k) FILTER (WHERE k IS NOT NULL), '')) AS base_sha256 FROM d LEFT JOIN b USING (doc_id) GROUP BY doc_id
 """
 
 
