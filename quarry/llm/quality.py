@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import read, record, short_batches
 
-BUCKETS, DIMS, CACHE = 1 << 15, 12, 100_000
+BUCKETS, DIMS, CACHE = 1 << 15, 12, 400_000
 #: How many features a word 2-gram of the same word twice counts for.
 REPEATED = 8
 
