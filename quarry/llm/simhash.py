@@ -141,7 +141,10 @@ def _forests(rows: DataFrame) -> DataFrame:
         a, b = GrayIndex(pdf["fp"].to_numpy(np.int64).view(np.uint64)).forest()
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return rows.groupBy(*[c for c in rows.columns if c != "fp"]).applyInPandas(links, "a bigint, b bigint")
+    key = [c for c in rows.columns if c != "fp"]
+    # buckets are few bytes and much work, so they are dealt out by number of tasks, not by size
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return dealt.groupBy(*key).applyInPandas(links, "a bigint, b bigint")
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
