@@ -205,11 +205,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return cut(short_batches(docs).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), fingerprint_of(F.col("text")).alias("fp")))
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """fp, component (no_id, id, tk of its first row) for each different fingerprint; a null id comes last."""
+def grouped(prints: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """fp, component (no_id, id, tk of its first row) for each different fingerprint; a null id comes last. found: links other than those of SimHash."""
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tk"))
     least = cut(prints.groupBy("fp").agg(first.alias("least")))
-    roots = cut(components(links(least.select("fp"))))
+    roots = cut(components(links(least.select("fp")) if found is None else found))
     of_root = roots.join(least, roots["v"] == least["fp"]).groupBy("root").agg(F.min("least").alias("component"))
     known = roots.join(of_root, "root").select(F.col("v").alias("fp"), "component")
     return least.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
@@ -221,16 +221,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(grouped(prints), "fp").select(F.col("id").alias("doc_id"), "fp", F.col("component.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, prints: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The columns of docs, with one row of each component: the one with the smallest doc_id, then the smallest hash of the text."""
     key = [F.coalesce("id", F.lit(0)).alias("k1"), F.col("id").isNull().alias("k2"), F.col("tk").alias("k3")]
-    kept = grouped(fingerprints(docs)).select("component.*").select(*key).distinct()
+    kept = grouped(prints, found).select("component.*").select(*key).distinct()
     rows = docs.select(record(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk")).select("rec", *key)
     # rows that share both are repeats of one document; the group by uses the join's partitioning
     one = rows.join(kept, ["k1", "k2", "k3"], "left_semi").groupBy("k1", "k2", "k3").agg(F.first("rec").alias("rec"))
     return one.select("rec.*")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """keep_first by the fingerprints of op6."""
+    return keep_first(docs, fingerprints(docs))
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
