@@ -2,8 +2,8 @@
 
 A page is read into text nodes, each with its root-to-leaf tag path. For each path: text length and number of punctuation signs,
 over the number of its nodes. Both ratios are smoothed over the paths in page order, scaled and fused by their geometric mean; paths
-that reach half of the mean of all paths are content. The container that holds most of the content paths' text (an article or main
-element where the page has one) gives the text: all its nodes but those under elements that are never article text,
+that reach half of the mean of all paths are content. All containers of content paths' text give the text (only article and main
+elements where they hold half of that text or more): all their nodes but those under elements that are never article text,
 by tag (nav, header, footer, aside, form, script, ...), role or words of class and id (menu, sidebar, ad, comment, cookie, ...).
 
 White space in a block becomes one space, blocks stand in page order, joined by a newline; <br> is white space.
@@ -184,7 +184,7 @@ def main_text(source: str | None) -> str:
     if not held:
         return ""
     named = {k for k, c in roots.items() if c.tag in ("article", "main")}
-    keep = named or {max(held, key=lambda k: (held[k], -k))}
+    keep = named if named and 2 * sum(held[k] for k in named) >= sum(held.values()) else set(held)
     within: dict[int, bool] = {}
 
     def inside(e: Element | None) -> bool:
