@@ -106,11 +106,14 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         d = _digits(m[0])
         if 14 <= len(d) <= 19 and luhn(d):
             out.append((m.start(), 2, m.end()))
-    for m in IBAN.finditer(text):
+    at = 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 1  # what a match swallows is searched again
         for end in range(m.end(), m.start() + 14, -1):  # the longest part of the run that is valid
             s = text[m.start() : end]
             if s[-1] != " " and iban_valid(s):
                 out.append((m.start(), 4, end))
+                at = end
                 break
     return sorted(out)
 
