@@ -1,16 +1,18 @@
 """Secret scans: known forms, and sliding-window entropy over candidate strings.
 
 Known forms ("base", leftmost and non-overlapping per kind): assign, access, hex; see KINDS. The entropy scan adds
-kind `entropy`: a candidate is a run of 20 or more of [A-Za-z0-9+/_=-] with a letter and a digit; a window of 20
-characters slides along it, and the sum of c*log2(c) over the counts c of its characters is kept by one step for the
-character that leaves and one for the one that enters. A window is hot where its Shannon entropy reaches the
-threshold of the candidate's class (hex, alnum, other). The span runs from the first hot window to the end of the
-last. Candidates on the allow-list (UUIDs, words joined by - _ or /, marked examples) and those that overlap a base span give none.
+kind `entropy`: a candidate is a run of 20 or more of [A-Za-z0-9+/_=-] with a letter and a digit. A window of 20 characters
+slides along it with a count for each character, five bits each in a few longs; a step takes one from the count of the
+character that leaves and adds one for the one that enters, and moves the sum of c*log2(c) by the two differences. A window is
+hot where its Shannon entropy reaches the threshold of the candidate's class (hex, alnum, other). The span runs from the first
+hot window to the end of the last. Candidates on the allow-list (UUIDs, words joined by - _ / or =, marked examples) and those
+that overlap a base span give none.
 
 Positions come from the lengths of the pieces between matches, so all stays in built-in functions, without a shuffle.
 
-Defined cases: a null or empty text has no spans; equal starts are ordered by kind as listed, then end; rows that
-repeat give the same result each; other columns are not read.
+Defined cases: a null or empty text has no spans; a very long text or candidate is scanned whole, in time in proportion to its
+length; equal starts are ordered by kind as listed, then end; rows that repeat give the same result each; an empty table gives an
+empty result; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,11 +30,10 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: The same where there is a digit, tried only at the start of a run.
 CANDIDATE_DIGIT = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]+[0-9]{0,4}([-_/=]+[A-Za-z]*[0-9]{0,4})*$",
-    r"(?i)example|sample|placeholder|x{6,}|0{8,}",
-)
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+#: Words with up to 4 digits each; tested part by part, as one pattern for them all recurses once for each word.
+JOINT, WORD, FIRST_WORD = r"[-_/=]+", r"^[A-Za-z]*[0-9]{0,4}$", r"^[A-Za-z]+[0-9]{0,4}$"
+EXAMPLE = r"(?i)example|sample|placeholder|x{6,}|0{8,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Shannon entropy in bits that a window reaches, by class of character.
@@ -64,26 +65,74 @@ def _if_any(text: Column, pattern: str, value_group: int = 0) -> Column:
     return F.when(text.rlike(pattern), found(text, pattern, value_group)).otherwise(none)
 
 
+#: Places of the counts: how many in a long, and bits of each (a window holds 20 of a character at most).
+PER_LONG, COUNT_BITS = 12, 5
+SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+
+
 def hot_range(s: Column) -> Column:
-    """(first, last): start of the first and of the last hot window of a string from 1, or 0 where there is none."""
-    table = F.array(*[F.lit(_g(c)).cast("bigint") for c in range(WINDOW + 2)])
+    """(first, last): start of the first and of the last hot window of a string of SIGNS from 1, or 0 where there is none."""
     limit = F.when(~s.rlike("[^0-9a-fA-F]"), _most(THRESHOLDS["hex"])).when(~s.rlike("[^0-9A-Za-z]"), _most(THRESHOLDS["alnum"])).otherwise(_most(THRESHOLDS["other"]))
+    # what the sum of c*log2(c) grows by when a count goes from c to c + 1
+    grows = F.array(*[F.lit(_g(c + 1) - _g(c)).cast("bigint") for c in range(WINDOW + 1)])
+
+    def counter(k: Column) -> Column:
+        shift = F.pmod(k, F.lit(PER_LONG)) * COUNT_BITS
+        return F.struct(F.floor(k / PER_LONG).cast("int").alias("long"), shift.alias("shift"), F.call_function("shiftleft", F.lit(1).cast("bigint"), shift).alias("unit"))
+
+    signs = F.transform(F.transform(F.split(s, ""), lambda ch: F.instr(F.lit(SIGNS), ch) - 1), counter)
+    pairs = F.zip_with(signs, F.concat(F.array_repeat(F.lit(None).cast("struct<long:int,shift:int,unit:bigint>"), WINDOW), signs), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
+
+    def step(acc: Column, x: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
+
+        def held(c: Column) -> Column:
+            return F.call_function("shiftright", F.get(acc["counts"], c["long"]), c["shift"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("bigint")).cast("int")
+
+        def moved(c: Column, k: Column) -> Column:
+            return c + F.when(k == enters["long"], enters["unit"]).otherwise(0) - F.when(k == leaves["long"], leaves["unit"]).otherwise(0)
+
+        by = F.get(grows, held(enters)) - F.when(leaves.isNull(), 0).otherwise(F.get(grows, held(leaves) - 1))
+        # a window is judged one step later, from fields alone, as an expression that stands here twice is computed twice
+        hot = (acc["i"] >= WINDOW) & (acc["total"] <= acc["limit"])
+        first, last = F.when(hot & (acc["first"] == 0), acc["i"] - WINDOW + 1).otherwise(acc["first"]), F.when(hot, acc["i"] - WINDOW + 1).otherwise(acc["last"])
+        # the last steps come from padding: nothing enters, and i stays
+        return F.when(enters.isNull(), F.struct(acc["limit"].alias("limit"), acc["i"].alias("i"), acc["total"].alias("total"), acc["counts"].alias("counts"), first.alias("first"), last.alias("last"))).otherwise(
+            F.struct(acc["limit"].alias("limit"), (acc["i"] + 1).alias("i"), (acc["total"] + F.when(enters == leaves, 0).otherwise(by)).alias("total"), F.transform(acc["counts"], moved).alias("counts"), first.alias("first"), last.alias("last")))
 
-    def count(ch: Column, text: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, ch, F.lit("")))
+    none = F.array_repeat(F.lit(0).cast("bigint"), -(-len(SIGNS) // PER_LONG))
+    # the limit reads the whole string, so it is computed once and carried along
+    start = F.struct(limit.cast("bigint").alias("limit"), F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("total"), none.alias("counts"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    return F.aggregate(pairs, start, step)
 
-    def step(acc: Column, i: Column) -> Column:
-        held = F.substring(s, F.greatest(i - WINDOW, F.lit(1)), F.least(i - 1, F.lit(WINDOW)))
-        leaves, enters = F.substring(s, i - WINDOW, F.lit(1)), F.substring(s, i, F.lit(1))
-        rest = F.when(i > WINDOW, F.substring(held, F.lit(2), F.lit(WINDOW))).otherwise(held)
-        out = F.when(i > WINDOW, F.get(table, count(leaves, held)) - F.get(table, count(leaves, rest))).otherwise(F.lit(0).cast("bigint"))
-        n = count(enters, rest)
-        total = acc["total"] - out + F.get(table, n + 1) - F.get(table, n)
-        hot = (i >= WINDOW) & (total <= limit)
-        return F.struct(total.alias("total"), F.when(hot & (acc["first"] == 0), i - WINDOW + 1).otherwise(acc["first"]).alias("first"), F.when(hot, i - WINDOW + 1).otherwise(acc["last"]).alias("last"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step)
+def allowed(value: Column) -> Column:
+    """Whether a candidate is on the allow-list."""
+    parts = F.split(value, JOINT, -1)
+    words = F.get(parts, F.lit(0)).rlike(FIRST_WORD) & F.forall(parts, lambda w: w.rlike(WORD))
+    return value.rlike(UUID) | value.rlike(EXAMPLE) | words
+
+
+def clear_of(candidates: Column, base: Column) -> Column:
+    """The candidates that overlap no base span; both in order of start. Two passes over all of them, forth and back."""
+    def marked(c: Column, is_base: bool) -> Column:
+        return F.transform(c, lambda m: F.struct(m["start"].alias("start"), F.lit(is_base).alias("base"), m["end"].alias("end")))
+
+    merged = F.array_sort(F.concat(marked(candidates, False), marked(base, True)))
+
+    def flags(array: Column, edge: Column, key, pick, meets) -> Column:
+        """One sign for each candidate on the way: 1 if it meets what base spans passed so far reach to."""
+        def step(acc: Column, m: Column) -> Column:
+            return F.when(m["base"], F.struct(pick(acc["edge"], key(m)).alias("edge"), acc["said"].alias("said"))).otherwise(
+                F.struct(acc["edge"].alias("edge"), F.concat(acc["said"], F.when(meets(m, acc["edge"]), "1").otherwise("0")).alias("said")))
+
+        return F.aggregate(array, F.struct(edge.alias("edge"), F.lit("").alias("said")), step)["said"]
+
+    forth = flags(merged, F.lit(-1).cast("bigint"), lambda m: m["end"], F.greatest, lambda m, e: m["start"] < e)
+    back = flags(F.reverse(merged), F.lit(1 << 62).cast("bigint"), lambda m: m["start"], F.least, lambda m, e: m["end"] > e)
+    told = F.zip_with(F.split(forth, ""), F.split(F.reverse(back), ""), lambda a, b: (a == "0") & (b == "0"))
+    kept = F.filter(F.zip_with(candidates, told, lambda c, ok: F.struct(c.alias("c"), ok.alias("ok"))), lambda x: x["ok"])
+    return F.when((F.size(base) == 0) | (F.size(candidates) == 0), candidates).otherwise(F.transform(kept, lambda x: x["c"]))
 
 
 def _span(kind: str, start: Column, end: Column) -> Column:
@@ -95,27 +144,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     df = df.select("id", "text", F.filter(_if_any(F.col("text"), ASSIGN, 2), lambda m: F.length(m["value"]) >= 6).alias("assign"), _if_any(F.col("text"), ACCESS).alias("access"), _if_any(F.col("text"), HEX).alias("hex"), _if_any(F.col("text"), CANDIDATE_DIGIT).alias("candidates"))
-    likely = F.filter("candidates", lambda c: c["value"].rlike("[A-Za-z]") & ~_any(c["value"], ALLOWED))
+    likely = F.filter("candidates", lambda c: c["value"].rlike("[A-Za-z]") & ~allowed(c["value"]))
 
     def spans_of(kind: str) -> Column:
         return F.transform(kind, lambda m: _span(kind, m["start"], m["end"]))
 
     base = F.array_sort(F.concat(*map(spans_of, KINDS[:3])))
     df = df.select("id", "text", base.alias("base"), likely.alias("likely"))
-    clear = F.filter("likely", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    ranges = F.transform(clear, lambda c: F.struct(c["start"].alias("at"), hot_range(c["value"]).alias("r")))
+    df = df.select("id", "text", "base", clear_of(F.col("likely"), F.col("base")).alias("clear"))
+    ranges = F.transform("clear", lambda c: F.struct(c["start"].alias("at"), hot_range(c["value"]).alias("r")))
     df = df.select("id", "text", "base", F.filter(ranges, lambda x: x["r"]["first"] > 0).alias("hot"))
     added = F.transform("hot", lambda x: _span("entropy", x["at"] + x["r"]["first"] - 1, x["at"] + x["r"]["last"] - 1 + WINDOW))
     return df.select("id", "text", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
-def _any(value: Column, patterns) -> Column:
-    out = value.rlike(patterns[0])
-    for p in patterns[1:]:
-        out = out | value.rlike(p)
-    return out
-
-
 def said(spans) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -138,7 +180,8 @@ def _sql() -> str:
         return f"""SELECT doc_id, '{kind}' AS kind, {KINDS.index(kind)} AS k, unnest(regexp_extract_all(text, {q(pattern)})) AS m, unnest(regexp_extract_all(text, {q(pattern)}, {group})) AS v,
         unnest(list_transform(string_split_regex(text, {q(pattern)})[:len(regexp_extract_all(text, {q(pattern)}))], lambda x: length(x))) AS gap, generate_subscripts(regexp_extract_all(text, {q(pattern)}), 1) AS i FROM d"""
 
-    allowed = " OR ".join(f"regexp_matches(v, {q(p)})" for p in ALLOWED)
+    words = r"^[A-Za-z]+[0-9]{0,4}([-_/=]+[A-Za-z]*[0-9]{0,4})*$"  # in one pattern here
+    allowed = " OR ".join(f"regexp_matches(v, {q(p)})" for p in (UUID, words, EXAMPLE))
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS ({matches("assign", ASSIGN, 2)} UNION ALL {matches("access", ACCESS)} UNION ALL {matches("hex", HEX)} UNION ALL {matches("entropy", CANDIDATE)}),

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,12 @@ def test_sainte_lague(spark, seed):
 # secrets
 
 
+def allow_listed(v):
+    words = re.split("[-_/=]+", v)
+    joined = all(re.fullmatch("[A-Za-z]*[0-9]{0,4}", w) for w in words) and re.match("[A-Za-z]", v)
+    return joined or re.search(secrets.UUID, v) or re.search(r"(?i)example|sample|placeholder|x{6,}|0{8,}", v)
+
+
 def brute_secrets(text):
     text = text or ""
     base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) >= 6]
@@ -136,7 +143,7 @@ def brute_secrets(text):
     out = list(base)
     for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
         v, n = m[0], secrets.WINDOW
-        if len(v) < n or not re.search("[0-9]", v) or not re.search("[A-Za-z]", v) or any(re.search(p, v) for p in secrets.ALLOWED):
+        if len(v) < n or not re.search("[0-9]", v) or not re.search("[A-Za-z]", v) or allow_listed(v):
             continue
         if any(a < m.end() and m.start() < b for a, _, b in base):
             continue
@@ -176,6 +183,20 @@ def test_secrets_edges(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_long_candidates(spark):
+    rng = random.Random(9)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(1, "ab1" + "-ab1" * 3000), (2, "ab1" + "-ab12345" * 3000), (3, "".join(rng.choice(signs) for _ in range(30_000))), (4, "a1" * 20_000), (5, ("q7" * 15 + "Zk3+9/xQ" * 4 + " ") * 40 + "token=abcdef1 " * 40)]
+    rows.append((6, " ".join(rng.choice(["token=abc" + "".join(rng.choice(signs) for _ in range(30)), "".join(rng.choice(signs) for _ in range(30))]) for _ in range(400))))
+    got = {r["id"]: r["s"] for r in secrets.scan(docs(spark, rows)).select("id", secrets.said("spans").alias("s")).collect()}
+    for i, t in rows:
+        assert got[i] == brute_secrets(t)[1], i
+    began = time.perf_counter()
+    text = "data " + "".join(rng.choices(signs, k=1_000_000)) + " end"
+    assert secrets.scan(docs(spark, [(1, text)])).select(secrets.said("spans").alias("s")).first()["s"] == "entropy:5:1000005"
+    assert time.perf_counter() - began < 60
+
+
 # decontamination
 
 
