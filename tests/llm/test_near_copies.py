@@ -3,6 +3,9 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from quarry.llm import near_copies, simhash
 
@@ -54,6 +57,33 @@ def test_near_copies_beyond_three_bits(spark):
     assert len(got) < simhash.keep_one(docs(spark, rows)).count()
 
 
+@pytest.mark.parametrize("block", [300, 5000])
+def test_near_copies_in_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(near_copies, "SPREAD", 3)
+    rows = near_rows(7)
+    df = docs(spark, rows)
+    found = near_copies.prints(df)
+    links = near_copies.links(df, found, block)
+    assert {r["doc_id"] for r in simhash.keep_first(df, found, links).collect()} == brute_kept(rows)
+
+
+def test_joins_against_all_pairs():
+    rng = random.Random(5)
+    sets = [np.unique(np.array([rng.randrange(12) for _ in range(rng.randrange(1, 14))], np.uint64)) for _ in range(60)]
+    got = near_copies.joins(sets, sets, np.arange(60), np.arange(60))
+    root = list(range(60))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a, b in got:
+        assert near_copies.alike(sets[a], sets[b]) and find(a) != find(b)
+        root[find(a)] = find(b)
+    for i, j in itertools.combinations(range(60), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        assert near_copies.alike(sets[i], sets[j]) == (10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both))
+        assert not near_copies.alike(sets[i], sets[j]) or find(i) == find(j)
+    for a, b in near_copies.joins(sets[:25], sets[20:50], np.arange(25), np.arange(20, 50)):
+        assert near_copies.alike(sets[a], sets[20 + b])
+
+
 def test_near_copies_on_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in df.collect())

@@ -3,8 +3,8 @@
 import corpus_pipeline
 from quarry.llm import decontam, quality, simhash
 
-from .test_free import brute_components, brute_print
 from .test_native import brute_hits, brute_lines
+from .test_near_copies import brute_kept
 
 
 def test_stages(spark, sf, tmp_path):
@@ -29,8 +29,7 @@ def test_stages(spark, sf, tmp_path):
     assert {r["doc_id"]: r["text"] for r in lines[1]} == brute_lines([(r["doc_id"], r["text"]) for r in lines[0]])
     assert all(r["n_chars"] == len(r["text"]) for r in lines[1])
 
-    ids, fps = [r["doc_id"] for r in near[0]], [brute_print(r["text"]) for r in near[0]]
-    assert sorted(r["doc_id"] for r in near[1]) == sorted(set(brute_components(ids, fps)))
+    assert {r["doc_id"] for r in near[1]} == brute_kept(sorted((r["doc_id"], r["text"]) for r in near[0]))
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert {r["doc_id"] for r in clean[1]} == {r["doc_id"] for r in clean[0] if not brute_hits(r["text"], items)[1]}
