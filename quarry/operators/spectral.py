@@ -138,47 +138,77 @@ def lanczos_local(multiply, ids: np.ndarray, num: int, space: int, kind: str = "
     return values[at], _signed(basis[:, :space] @ vecs[:, at]), bounds
 
 
-def _lanczos_spark(edges: DataFrame, ids: DataFrame, num: int, space: int, kind: str):
-    """One Krylov space with the basis as a table (id, array): two passes and one write for each vector of it."""
+def _combined(weights: np.ndarray):
+    """The sum of the basis (array v of a row) by weights, as a Column."""
+    return F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in weights]), lambda p, q: p * q), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _without_basis(step: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, float]:
+    """w less its part in the basis, taken off twice; the coefficients of both together; the norm of what is left."""
+    sums = [F.sum(F.col("w") * F.get("v", F.lit(a))) for a in range(size)]
+    less = lambda hs: F.col("w") - _combined(np.asarray(hs))
+    h = np.array(step.agg(*sums).first(), float)
+    step = step.withColumn("w", less(h))
+    row = step.agg(*sums, F.sum(F.col("w") * F.col("w"))).first()
+    again = np.array(row[:-1], float)
+    return step.withColumn("w", less(again)), h + again, math.sqrt(max(0.0, row[-1] - float((again**2).sum())))
+
+
+def _lanczos_spark(edges: DataFrame, ids: DataFrame, num: int, space: int, kind: str, max_iter: int, tol: float):
+    """lanczos_local with the basis as a table (id, array): two passes and one write for each vector of it; a restart is one more."""
     start = F.sin(F.col("id").cast("double") * 12.9898 + 78.233) + 1.5
-    norm = math.sqrt(ids.agg(F.sum(start * start)).first()[0])
-    state = cut(ids.select("id", F.array(start / norm).alias("v")))
-    proj, k, beta = np.zeros((space, space)), 0, 0.0
-    for k in range(space):
-        y = matvec(edges, state.select("id", F.get("v", F.lit(k)).alias("x")))
-        joined = state.join(y, "id", "left").select("id", "v", F.coalesce("y", F.lit(0.0)).alias("w"))
-        step = cut(joined)
-        h = np.array(step.agg(*[F.sum(F.col("w") * F.get("v", F.lit(a))) for a in range(k + 1)]).first(), float)
-        gone = lambda c, hs: c - sum((F.lit(float(x)) * F.get("v", F.lit(a)) for a, x in enumerate(hs)), F.lit(0.0))
-        step = step.withColumn("w", gone(F.col("w"), h))
-        row = step.agg(*[F.sum(F.col("w") * F.get("v", F.lit(a))) for a in range(k + 1)], F.sum(F.col("w") * F.col("w"))).first()
-        again = np.array(row[:-1], float)
-        h = h + again
-        proj[: k + 1, k] = proj[k, : k + 1] = h
-        beta = math.sqrt(max(0.0, row[-1] - float((again**2).sum())))
-        if beta < 1e-12 or k + 1 == space:
+    n, total = ids.agg(F.count("*"), F.sum(start * start)).first()
+    space, num = min(space, n), min(num, n)
+    state = cut(ids.select("id", F.array(start / math.sqrt(total)).alias("v")))
+    proj, kept = np.zeros((space, space)), 0
+    for turn in range(max_iter):
+        beta = 0.0
+        for k in range(kept, space):
+            y = matvec(edges, state.select("id", F.get("v", F.lit(k)).alias("x")))
+            step = cut(state.join(y, "id", "left").select("id", "v", F.coalesce("y", F.lit(0.0)).alias("w")))
+            step, h, beta = _without_basis(step, k + 1)
+            proj[: k + 1, k] = proj[k, : k + 1] = h
+            norm = beta
+            if beta < 1e-12:
+                if k + 1 == space:
+                    break
+                # an invariant space: go on from a fresh direction
+                fresh = cut(state.withColumn("w", F.sin(F.col("id").cast("double") * (turn + k + 1.7)) + F.cos(F.col("id").cast("double") * (k + 2.3))))
+                step, _, norm = _without_basis(fresh, k + 1)
+                beta = 0.0
+            state = cut(step.select("id", F.concat("v", F.array(F.col("w") / norm)).alias("v")))
+        values, vecs = np.linalg.eigh((proj + proj.T) / 2)
+        at = wanted(values, num, kind)
+        bounds = np.abs(beta * vecs[-1, at])
+        if space == n or (bounds <= tol * np.maximum(EPS23, np.abs(values[at]))).all():
             break
-        state = cut(step.select("id", F.concat("v", F.array(gone(F.col("w"), again) / beta)).alias("v")))
-    values, vecs = np.linalg.eigh(proj[: k + 1, : k + 1])
-    at = wanted(values, num, kind)
-    weights = F.array(*[F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in vecs[:, a]]), lambda p, q: p * q), F.lit(0.0), lambda acc, x: acc + x) for a in at])
-    out = cut(state.select("id", weights.alias("v")))
+        keep = wanted(values, min(space - 1, num + max(1, (space - num) // 2)), kind)
+        kept, border = len(keep), beta * vecs[-1, keep]
+        if turn + 1 < max_iter:
+            padded = np.vstack([vecs, np.zeros((1, space))])  # the last vector of the basis, the residual, is no part of them
+            state = cut(state.select("id", F.array(*[_combined(padded[:, a]) for a in keep], F.get("v", F.lit(space))).alias("v")))
+        proj[:] = 0
+        proj[np.arange(kept), np.arange(kept)] = values[keep]
+        if kept < space:
+            proj[:kept, kept] = proj[kept, :kept] = border
+    cols = F.array(*[_combined(np.append(vecs[:, a], 0.0)) for a in at])
+    out = cut(state.withColumn("v", F.when(F.size("v") > space, F.col("v")).otherwise(F.concat("v", F.array(F.lit(0.0))))).select("id", cols.alias("v")))
     tops = out.agg(*[F.max_by(F.get("v", F.lit(c)), F.struct(F.abs(F.get("v", F.lit(c))), -F.col("id"))) for c in range(len(at))]).first()
     signs = F.array(*[F.lit(-1.0 if x < 0 else 1.0) for x in tops])
-    return values[at], out.select("id", F.zip_with("v", signs, lambda x, s: x * s).alias("v")), np.abs(beta * vecs[-1, at])
+    return values[at], out.select("id", F.zip_with("v", signs, lambda x, s: x * s).alias("v")), bounds
 
 
 def eigenpairs(edges: DataFrame, num: int, space: int | None = None, kind: str = "LA", max_iter: int = 300, tol: float = 1e-10, bound: int = EDGES_BOUND):
     """values (numpy), vectors (table id, v: array of num numbers), bounds on the residuals.
 
-    edges: a symmetric matrix; its rows are the ids that occur. Above `bound` edges the basis is a table, and `space`
-    (at least 2 num + 1) is how many vectors it gets; there is no restart then, and the bounds say how exact the values are.
+    edges: a symmetric matrix; its rows are the ids that occur. Above `bound` edges the basis is a table; the method, and what max_iter and
+    tol mean, stay the same. Where the bounds do not come below tol (relative to the values) in max_iter restarts, this is an error.
     """
     space = max(space or 0, 2 * num + 1, 20)
     edges = cut(edges.select("i", "j", "w"))
     ids = edges.select(F.col("i").alias("id")).union(edges.select("j")).distinct()
     if edges.count() > bound:
-        return _lanczos_spark(edges, cut(ids), num, space, kind)
+        return _settled(*_lanczos_spark(edges, cut(ids), num, space, kind, max_iter, tol), space, tol)
     pdf = edges.toPandas()
     all_ids = np.unique(np.concatenate([pdf["i"].to_numpy(), pdf["j"].to_numpy()])) if len(pdf) else np.zeros(0, np.int64)
     spark = edges.sparkSession
@@ -187,7 +217,14 @@ def eigenpairs(edges: DataFrame, num: int, space: int | None = None, kind: str =
     a, b, w = np.searchsorted(all_ids, pdf["i"]), np.searchsorted(all_ids, pdf["j"]), pdf["w"].to_numpy()
     values, vectors, bounds = lanczos_local(lambda x: np.bincount(a, w * x[b], len(all_ids)), all_ids, num, space, kind, max_iter, tol)
     rows = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(all_ids, vectors)], "id bigint, v array<double>")
-    return values, rows, bounds
+    return _settled(values, rows, bounds, min(space, len(all_ids)) if space < len(all_ids) else 0, tol)
+
+
+def _settled(values, vectors, bounds, space: int, tol: float):
+    """space: 0 where the whole space was searched, so that there is nothing left."""
+    if space and (bounds > tol * np.maximum(EPS23, np.abs(values))).any():
+        raise RuntimeError(f"eigenvalues have not settled: bounds {bounds}")
+    return values, vectors, bounds
 
 
 def spectral_clusters(points: DataFrame, clusters: int, t: int = 10, num: int | None = None, kind: str = "LA", unit_rows: bool = False, init: str = "first", rounds: int = 20) -> DataFrame:

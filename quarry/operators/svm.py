@@ -7,6 +7,7 @@ Sets by multiplier: 0 inside the box; 1 (+1) and 4 (-1) at zero; 3 (+1) and 2 (-
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.plan import cut
-from quarry.operators.topk import BLOCK, blocks
+from quarry.operators.topk import BLOCK, SENT, blocks, chunks, matrix
 
 ZERO, EPS, TOL, TIE = 1e-12, 1e-20, 1e-3, 1e-10
 #: Rows up to which one task solves the whole problem, and rows of a working set beyond that.
@@ -33,7 +34,9 @@ class Model:
     iterations: int = 0
     b_up: float = 0.0
     b_low: float = 0.0
-    #: id, y, vector, alpha, f of all rows, instead of the arrays, where these could be too large for one place.
+    #: Whether the gap of all active rows is within tolerance; False where max_iter or a pair that cannot move ended it.
+    converged: bool = True
+    #: id, y, vector, alpha, f, active of all rows, instead of the arrays, where these could be too large for one place.
     state: DataFrame | None = None
 
     def support(self) -> tuple[np.ndarray, np.ndarray]:
@@ -90,33 +93,21 @@ def kernel(x: np.ndarray, z: np.ndarray, sigmasqr: float) -> np.ndarray:
 
 
 def pair_step(y1, y2, a1, a2, f1, f2, k11, k12, k22, c: float):
-    """New multipliers of a pair, and the two changes for the gradient; None where training stops."""
-    s = y1 * y2
-    if s < 0:
-        low, high = (a2 - a1 if a2 - a1 > ZERO else 0.0), min(c, c + a2 - a1)
-    else:
-        low, high = (a2 + a1 - c if a2 + a1 - c > ZERO else 0.0), min(c, a1 + a2)
-    if abs(low - high) < ZERO:
+    """New multipliers of a pair, and the two changes for the gradient; None where training stops.
+
+    A shift t keeps the sum of alpha * y: a1 goes to a1 + y1 t, a2 to a2 - y2 t. The dual is a parabola in t with its top at (f2 - f1) / (k11 +
+    k22 - 2 k12); both boxes leave t one interval. Where the parabola is flat, the end that the slope points to is taken.
+    """
+    low = max(-a1 if y1 > 0 else a1 - c, a2 - c if y2 > 0 else -a2)
+    high = min(c - a1 if y1 > 0 else a1, a2 if y2 > 0 else c - a2)
+    if high - low < ZERO:
         return None
-    eta = 2 * k12 - k11 - k22
-    if eta < ZERO:
-        # the box is met from either side; at eta = 0 the quotient is infinite and the box decides
-        moved = a2 - y2 * (f1 - f2) / eta if eta else (np.inf if y2 * (f1 - f2) > 0 else -np.inf)
-        new2 = min(max(moved, low), high)
-    else:
-        slope = y2 * (f1 - f2) - eta * a2
-        at_low, at_high = (0.5 * eta * e * e + slope * e for e in (low, high))
-        new2 = low if at_low > at_high + EPS else high if at_low < at_high - EPS else a2
-    new2 = 0.0 if new2 < ZERO else c if new2 > c - ZERO else new2
-    d2 = new2 - a2
-    if abs(d2) < EPS * (new2 + a2 + EPS):
+    curve, slope = k11 + k22 - 2 * k12, f2 - f1
+    t = min(max(slope / curve, low), high) if curve > ZERO else high if slope > 0 else low if slope < 0 else 0.0
+    new1, new2 = (0.0 if a < ZERO else c if a > c - ZERO else a for a in (a1 + y1 * t, a2 - y2 * t))
+    if abs(new2 - a2) < EPS:
         return None
-    new1 = a1 + s * (a2 - new2)
-    if new1 < ZERO:
-        new2, new1 = new2 + s * new1, 0.0
-    elif new1 > c - ZERO:
-        new2, new1 = new2 + s * (new1 - c), c
-    return new1, new2, new1 - a1, d2
+    return new1, new2, new1 - a1, new2 - a2
 
 
 def _extreme(f: np.ndarray, own: np.ndarray, ok: np.ndarray, sign: int) -> tuple[float, int]:
@@ -210,49 +201,74 @@ def fit(rows: DataFrame, c: float, sigmasqr: float, max_iter: int = 100_000, shr
         small = small.sort_values("id")
         x, y = _matrix(small), small["y"].to_numpy()
         alpha, f, n, up, low = smo(x, y, c, sigmasqr, max_iter, shrink=shrink, reconstruct=reconstruct)
-        return Model(small["id"].to_numpy(), x, y, alpha, _threshold(alpha, f, c, up, low), sigmasqr, n, up, low)
-    return _fit_rounds(data, c, sigmasqr, max_iter, working)
+        return Model(small["id"].to_numpy(), x, y, alpha, _threshold(alpha, f, c, up, low), sigmasqr, n, up, low, up >= low - 2 * TOL)
+    return _fit_rounds(data, c, sigmasqr, max_iter, working, shrink, reconstruct)
+
 
+def _fit_rounds(data: DataFrame, c: float, sigmasqr: float, max_iter: int, working: int, shrink: bool, reconstruct: bool) -> Model:
+    """The same three variants as smo(), with all rows in a table. A round is one pass: a working set is solved, and every active row's f moves.
 
-def _fit_rounds(data: DataFrame, c: float, sigmasqr: float, max_iter: int, working: int) -> Model:
-    state = cut(data.withColumns({"alpha": F.lit(0.0), "f": -F.col("y")}))
-    done, last_gap = 0, None
+    With shrink, each round leaves out rows that cannot move; once the active ones agree, the gradients of those left out
+    are computed anew and all go on, or (without reconstruct) it ends.
+    """
+    state = cut(data.withColumns({"alpha": F.lit(0.0), "f": -F.col("y"), "active": F.lit(True)}))
+    done, stuck, stuck_at = 0, False, None
     while True:
         with_set = state.withColumn("setinfo", set_of(F.col("y"), F.col("alpha"), c))
-        b = select_pair(with_set).first()
-        if b["b_up"] is None or b["b_low"] is None or b["b_up"] >= b["b_low"] - 2 * TOL or done >= max_iter:
+        moving = with_set.filter("active")
+        b = select_pair(moving).first()
+        agreed = b["b_up"] is None or b["b_low"] is None or b["b_up"] >= b["b_low"] - 2 * TOL
+        if agreed or stuck or done >= max_iter:
+            if shrink and reconstruct and agreed and not state.filter("not active").isEmpty():
+                state, shrink = cut(_reconstructed(state, sigmasqr)), False  # once all rows are back, the rest is plain
+                continue
             break
-        up = with_set.filter(F.col("setinfo").isin(0, 1, 2)).orderBy("f", "id").limit(working // 2)
-        low = with_set.filter(F.col("setinfo").isin(0, 3, 4)).orderBy(F.col("f").desc(), "id").limit(working // 2)
+        up = moving.filter(F.col("setinfo").isin(0, 1, 2)).orderBy("f", "id").limit(working // 2)
+        low = moving.filter(F.col("setinfo").isin(0, 3, 4)).orderBy(F.col("f").desc(), "id").limit(working // 2)
         block = up.union(low).toPandas().drop_duplicates("id").sort_values("id")  # at most `working` rows
         x, y, before = _matrix(block), block["y"].to_numpy(), block["alpha"].to_numpy()
         alpha, _, n, *_ = smo(x, y, c, sigmasqr, max_iter - done, before, block["f"].to_numpy())
         done += n
         moved = alpha != before
-        if not moved.any():
-            break
-        state = cut(_updated(state, block["id"].to_numpy()[moved], x[moved], (y * (alpha - before))[moved], alpha[moved], sigmasqr))
-        gap = (b["b_up"], b["b_low"], n)
-        if gap == last_gap:
-            break
-        last_gap = gap
+        at = (b["b_up"], b["b_low"], n)
+        stuck, stuck_at = not moved.any() or at == stuck_at, at
+        if moved.any():
+            after = _updated(state, block["id"].to_numpy()[moved], x[moved], (y * (alpha - before))[moved], alpha[moved], sigmasqr)
+            if shrink:
+                own = set_of(F.col("y"), F.col("alpha"), c)
+                gone = own.isin(3, 4) & (F.col("f") < b["b_up"]) | own.isin(1, 2) & (F.col("f") > b["b_low"])
+                after = after.withColumn("active", F.col("active") & ~gone)
+            state = cut(after)
     none = np.zeros(0)
-    return Model(none, none, none, none, threshold(with_set, c).first()["threshold"], sigmasqr, done, b["b_up"], b["b_low"], state)
+    if not agreed:
+        warnings.warn(f"training ended after {done} pair steps with a gap of {b['b_low'] - b['b_up']:.3g}", stacklevel=3)
+    return Model(none, none, none, none, threshold(with_set, c).first()["threshold"], sigmasqr, done, b["b_up"], b["b_low"], agreed, state)
 
 
 def _updated(state: DataFrame, ids, x, change, alpha, sigmasqr: float) -> DataFrame:
-    """f of every row moves by the kernel with the rows that changed; those get their new multipliers."""
+    """f of every active row moves by the kernel with the rows that changed; those get their new multipliers."""
     new = dict(zip(ids.tolist(), alpha.tolist()))
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                own = _matrix(pdf)
-                yield pdf.assign(f=pdf["f"] + kernel(own, x, sigmasqr) @ change, alpha=[new.get(i, a) for i, a in zip(pdf["id"], pdf["alpha"])])
+                on, f = pdf["active"].to_numpy(bool), pdf["f"].to_numpy(np.float64, copy=True)
+                if on.any():
+                    f[on] += kernel(_matrix(pdf[on]), x, sigmasqr) @ change
+                yield pdf.assign(f=f, alpha=[new.get(i, a) for i, a in zip(pdf["id"], pdf["alpha"])])
 
     return state.mapInPandas(run, state.schema)
 
 
+def _reconstructed(state: DataFrame, sigmasqr: float) -> DataFrame:
+    """All rows active; those that were not get their gradient anew from the support vectors."""
+    sv = state.filter(F.col("alpha") > ZERO).select("id", (F.col("alpha") * F.col("y")).alias("weight"), "vector")
+    out = state.filter("not active")
+    found = decision_in_blocks(out.withColumn("label", F.col("y")), sv, 0.0, sigmasqr, keep=["y", "vector", "alpha"])
+    again = found.select("id", "y", "vector", "alpha", (F.col("f") - F.col("y")).alias("f"), F.lit(True).alias("active"))
+    return state.filter("active").select(*again.columns).unionByName(again)
+
+
 def gradient(rows: DataFrame, model: Model) -> DataFrame:
     """id, f = sum of alpha y K - label for each row: the gradient of rows that were left out. rows: id, label, vector."""
     return decision(rows, model, 0.0).select("id", (F.col("f") - F.col("label")).alias("f"))
@@ -275,21 +291,32 @@ def decision(rows: DataFrame, model: Model, threshold: float | None = None) -> D
     return rows.select("id", F.col("label").cast("double").alias("label"), value(F.col("vector").cast("array<double>")).alias("f"))
 
 
-def decision_in_blocks(rows: DataFrame, support: DataFrame, threshold: float, sigmasqr: float, block: int = BLOCK) -> DataFrame:
-    """The same from a table of support vectors (id, weight, vector): a matrix product for each pair of blocks, a sum for each row and block."""
-    n_r, n_s = (max(1, -(-x.count() // block)) for x in (rows, support))
-    heavier = support.select("id", F.concat(F.col("vector").cast("array<double>"), F.array("weight")).alias("vector"))
-    pairs = blocks(rows, "q", n_r).join(blocks(heavier, "t", n_s)).repartition(min(n_r * n_s, 4 * rows.sparkSession.sparkContext.defaultParallelism), "qb", "tb")
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                ids = np.frombuffer(r.qids, np.int64)
-                own, sv = np.frombuffer(r.qv).reshape(len(ids), -1), np.frombuffer(r.tv).reshape(len(r.tids) // 8, -1)
-                yield pd.DataFrame({"id": ids, "s": kernel(own, sv[:, :-1], sigmasqr) @ sv[:, -1]})
+def decision_in_blocks(rows: DataFrame, support: DataFrame, threshold: float, sigmasqr: float, block: int = BLOCK, sent: int = SENT, keep: list[str] | None = None) -> DataFrame:
+    """The same from a table of support vectors (id, weight, vector), and the columns in `keep`.
 
-    sums = pairs.mapInPandas(run, "id bigint, s double").groupBy("id").agg(F.sum("s").alias("s"))
-    return rows.select("id", F.col("label").cast("double").alias("label")).join(sums, "id", "left").select("id", "label", (F.coalesce("s", F.lit(0.0)) - threshold).alias("f"))
+    Support vectors go out in bounded chunks; the rows stay where they are, and a sum in each grows chunk by chunk. Nothing is shuffled but the support vectors, once.
+    """
+    n = max(1, -(-support.count() // block))
+    heavier = support.select("id", F.concat(F.col("vector").cast("array<double>"), F.array(F.col("weight").cast("double"))).alias("vector"))
+    kept = [c for c in keep or [] if c != "vector"]
+    out = rows.select("id", F.col("label").cast("double").alias("label"), *kept, F.col("vector").cast("array<double>").alias("vector"), F.lit(0.0).alias("f"))
+
+    def adding(chunk, schema):
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    own, f = matrix(pdf["vector"]), pdf["f"].to_numpy(np.float64, copy=True)
+                    for _, sv in chunk.value:
+                        f += kernel(own, sv[:, :-1], sigmasqr) @ sv[:, -1]
+                    yield pdf.assign(f=f)
+
+        return lambda df: df.mapInPandas(run, schema)
+
+    for k, chunk in enumerate(chunks(blocks(heavier, "t", n), "t", n, sent)):
+        out = adding(chunk, out.schema)(out)
+        if k % 8 == 7:
+            out = cut(out)
+    return out.select("id", "label", *(keep or []), (F.col("f") - threshold).alias("f"))
 
 
 def evaluate(scored: DataFrame) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.plan import cut
+
 #: Rows of a block of vectors: a block of 64 dimensions is 1 MB.
 BLOCK = 2048
+#: Blocks that go out to all tasks at once: 32 MB at 64 dimensions.
+SENT = 32
 
 
 def topk_per_group(df: DataFrame, group: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -52,27 +58,75 @@ def nearest_in_block(q_ids, q, t_ids, t, k: int, skip_self: bool) -> tuple[np.nd
     return q_ids[rows[keep]], t_ids[cols[keep]], exact[keep]
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", skip_self: bool = False, block: int = BLOCK) -> DataFrame:
+def chunks(packed: DataFrame, prefix: str, n_blocks: int, each: int):
+    """Lists of (ids, matrix) of `each` blocks at a time, as broadcast variables: what is on the driver and in each task is so bounded."""
+    packed = cut(packed)
+    for at in range(0, n_blocks, each):
+        rows = packed.filter(F.col(f"{prefix}b").between(at, at + each - 1)).orderBy(f"{prefix}b").collect()
+        if rows:
+            ids = [np.frombuffer(r[1], np.int64) for r in rows]
+            yield packed.sparkSession.sparkContext.broadcast([(i, np.frombuffer(r[2]).reshape(len(i), -1)) for i, r in zip(ids, rows)])
+
+
+def gathered(batches, block: int, columns: list[str]):
+    """Pandas batches joined into ones of about `block` rows."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf[columns])
+        n += len(pdf)
+        if n >= block:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
+def matrix(vectors) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", skip_self: bool = False, block: int = BLOCK, sent: int = SENT) -> DataFrame:
     """qid, id, dist, rank: the k nearest rows of every query by Euclidean distance, then id; exact.
 
-    Both sides are packed into blocks; each pair of blocks is one matrix product that gives k rows for each of its
-    queries at most, so what is shuffled is k rows for each query and block, never all pairs.
+    Queries go out in bounded chunks of `sent` blocks; the rows stay where they are and stream by, a matrix product for each block
+    of either side. What is shuffled is k rows for each query and task, so it grows with the queries and the size of the cluster.
     """
     if k < 1:
         return rows.sparkSession.createDataFrame([], "qid bigint, id bigint, dist double, rank int")
     n_q = max(1, -(-queries.count() // block))
-    n_t = max(1, -(-rows.count() // block))
     q = blocks(queries, "q", n_q, id_col, vector_col)
-    t = blocks(rows, "t", n_t, id_col, vector_col)
-    spread = min(n_q * n_t, 4 * rows.sparkSession.sparkContext.defaultParallelism)
-    pairs = q.join(t).repartition(spread, "qb", "tb")  # blocks, not rows: (n_q * n_t) of them
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                q_ids, t_ids = np.frombuffer(r.qids, np.int64), np.frombuffer(r.tids, np.int64)
-                a, b, d = nearest_in_block(q_ids, np.frombuffer(r.qv).reshape(len(q_ids), -1), t_ids, np.frombuffer(r.tv).reshape(len(t_ids), -1), k, skip_self)
+    t = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    if t.rdd.getNumPartitions() > tasks:
+        t = t.coalesce(tasks)
+
+    def against(sent_out):
+        def run(batches):
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in sent_out.value]
+            for pdf in gathered(batches, block, ["id", "v"]):
+                ids, x = pdf["id"].to_numpy(np.int64), matrix(pdf["v"])
+                for n, (q_ids, own) in enumerate(sent_out.value):
+                    found = nearest_in_block(q_ids, own, ids, x, k, skip_self)
+                    best[n] = _first([np.concatenate(pair) for pair in zip(best[n], found)], k)
+            for a, b, d in best:
                 yield pd.DataFrame({"qid": a, "id": b, "dist": d})
 
-    found = pairs.mapInPandas(run, "qid bigint, id bigint, dist double")
+        return t.mapInPandas(run, "qid bigint, id bigint, dist double")
+
+    parts = [against(c) for c in chunks(q, "q", n_q, sent)]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "qid bigint, id bigint, dist double, rank int")
+    found = parts[0]
+    if len(parts) > 1:  # each pass over the rows is done and folded before the next
+        parts = [cut(topk_per_group(p, ["qid"], ["dist", "id"], k).drop("rank")) for p in parts]
+        found = functools.reduce(DataFrame.unionByName, parts)
     return topk_per_group(found, ["qid"], ["dist", "id"], k)
+
+
+def _first(rows: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of query ids, row ids and distances the k first of each query."""
+    a, b, d = rows
+    order = np.lexsort((b, d, a))
+    a, b, d = a[order], b[order], d[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], d[keep]

@@ -57,6 +57,45 @@ def test_working_sets_agree(spark):
     assert max(abs(a[i] - b[i]) for i in a) < 0.02
 
 
+@pytest.mark.parametrize("fit", [svm.fit_shrinking, svm.fit_approximate])
+def test_variants_in_rounds(spark, fit):
+    x, y = two_moons(160, 1)
+    df = table(spark, x, y)
+    one, rounds = fit(df, 1.0, 1.0), fit(df, 1.0, 1.0, bound=50, working=40)
+    k = svm.kernel(x, x, 1.0)
+
+    def objective(alpha):
+        return alpha.sum() - 0.5 * (alpha * y) @ k @ (alpha * y)
+
+    state = rounds.state.orderBy("id").toPandas()
+    assert rounds.converged and one.converged
+    assert not state["active"].all() or fit is svm.fit_shrinking
+    assert abs(objective(one.alpha) - objective(state["alpha"].to_numpy())) < 2e-3 * objective(one.alpha)
+    if fit is svm.fit_shrinking:  # the approximate one ends where its own active rows agree
+        f = k @ (state["alpha"] * y).to_numpy() - y
+        assert np.allclose(f, state["f"], atol=1e-8)
+        a, b = ({r["id"]: r["f"] for r in svm.decision(df, m).collect()} for m in (one, rounds))
+        assert max(abs(a[i] - b[i]) for i in a) < 5e-3
+
+
+def test_no_convergence_is_told(spark):
+    x, y = two_moons(160, 1)
+    with pytest.warns(UserWarning, match="gap"):
+        assert not svm.fit(table(spark, x, y), 1.0, 1.0, bound=50, working=40, max_iter=20).converged
+    assert not svm.fit(table(spark, x, y), 1.0, 1.0, max_iter=20).converged
+
+
+def test_decision_in_chunks(spark):
+    x, y = two_moons(60, 3)
+    df = table(spark, x, y)
+    sv = df.filter("id % 2 = 0").select("id", (F.col("label") * 0.5).alias("weight"), "vector")
+    want = svm.kernel(x, x[::2], 1.0) @ (0.5 * y[::2]) - 0.25
+    for sent in (1, 100):
+        got = svm.decision_in_blocks(df, sv, 0.25, 1.0, block=7, sent=sent).orderBy("id").collect()
+        assert np.allclose([r["f"] for r in got], want)
+    assert {r["f"] for r in svm.decision_in_blocks(df, sv.limit(0), 0.25, 1.0).collect()} == {-0.25}
+
+
 def test_variants(spark):
     x, y = two_moons(120, 2)
     df = table(spark, x, y)
