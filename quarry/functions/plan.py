@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder in spark.checkpoint.dir, which the cluster shares; only where that is unset, to one of its own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the cluster shares. Where that is unset, one of its own on a local master; elsewhere an error."""
+    sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it from there, so that what made it is not run again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -28,10 +28,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from quarry.plans import files, steps  # noqa: F401  they register their own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(SQL)
 
 

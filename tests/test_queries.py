@@ -8,6 +8,9 @@ from quarry.plans import catalog
 from .oracle import assert_same, duck
 
 
+catalog.queries()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query(spark, sf, name):
     assert_same(catalog.QUERIES[name](spark, sf), catalog.SQL[name], sf)
