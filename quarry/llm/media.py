@@ -22,6 +22,7 @@ from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.llm.shared import read
 
@@ -205,7 +206,7 @@ def audio_columns(media: DataFrame, id_col: str = "id", content_col: str = "cont
     return rows.mapInPandas(describe, f"id {kind}, n_frames bigint, rate int, duration_num bigint, duration_den bigint, offsets array<bigint>, damaged bigint, skipped bigint")
 
 
-SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+SCHEMA = "doc_id string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
 def _store(batches):
@@ -218,9 +219,14 @@ def _store(batches):
             audio = parse(media)
             back = decode(media, audio)
             rows.append((doc_id, int(audio.tags["n_bytes"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(audio)))
-        out = pd.DataFrame(rows, columns=names)
-        yield out.assign(doc_id=pd.array(out["doc_id"], dtype="Int64"))
+        yield pd.DataFrame(rows, columns=names)
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """Of each row the text stored as a stream and read back: doc_id, lengths, digests and features."""
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text, which pandas keeps as it is
+    return rows.mapInPandas(_store, SCHEMA).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op7_mpeg_audio(spark, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(_store, SCHEMA)
+    return store(read(spark, sf_dir, "documents"))
