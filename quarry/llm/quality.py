@@ -1,14 +1,14 @@
 """Quality classifier on supervised subword embeddings.
 
-Features of a text are its words (what white space separates, as they are) and their character 2- and 3-grams, each
-hashed to one of BUCKETS learned vectors, and one for word 2-grams of the same word twice; a document is their average, and a softmax over two classes gives the score. Vectors and
+Features of a text are its words (what white space separates, as they are), their character 2- and 3-grams, and its word 2-grams,
+each hashed to one of BUCKETS learned vectors; a document is their average, and a softmax over two classes gives the score. Vectors and
 output are trained by numpy stochastic gradient descent on a sample of at most `sample` labelled documents: those of the smallest
 hashes of doc_id. Only labels whose crc32(doc_id as text) mod 3 is not 1 are ever read.
 
 As the output is linear in the average, each bucket comes down to one number; scoring sums these over a text's
 features. The model is BUCKETS doubles, whatever the size of the corpus.
 
-Defined cases: a null or empty text has no features and gets the score of the output's bias alone; a null doc_id counts as not held out and is never trained
+Defined cases: a null or empty text has no features and gets the score of the output's bias alone; a very long text is read whole; a null doc_id counts as not held out and is never trained
 on; labels that repeat count once, by their largest quality; null qualities are left out; without labels
 every score is 0.5; rows that repeat get the same score each; other columns pass through or are not read.
 """
@@ -26,34 +26,96 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import read, record, short_batches
 
 BUCKETS, DIMS, CACHE = 1 << 15, 12, 400_000
-#: How many features a word 2-gram of the same word twice counts for.
-REPEATED = 8
+#: Factors that make one hash of the hashes of two words.
+LEFT, RIGHT = np.uint64(2654435761), np.uint64(2246822519)
 
 
-def token_features(token: str) -> list[int]:
-    own = f"<{token}>"
-    grams = [own[i : i + n] for n in (2, 3) for i in range(len(own) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (f"w{token}", *grams)]
+def gram_features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words, each between < and >, one after another: the bucket of the 2-gram and of the 3-gram at each code point, -1 where the word
+    ends before; and how many code points each word has."""
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 2
+    points = np.frombuffer("".join([f"<{t}>" for t in tokens]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    points = np.concatenate((points, np.zeros(2, np.uint64)))
+    two = points[:-2] * LEFT + points[1:-1] * RIGHT
+    three = (two ^ two >> np.uint64(29)) * LEFT + points[2:] * RIGHT
+    ends = np.cumsum(lengths)
+    two, three = bucket_of(two), bucket_of(three)
+    two[ends - 1] = three[ends - 1] = three[ends - 2] = -1
+    return two, three, lengths
 
 
-REPEAT = zlib.crc32(b"repeat") % BUCKETS
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * LEFT >> np.uint64(24)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def word_hash(token: str) -> int:
+    return zlib.crc32(b"w" + token.encode("utf-8", "surrogatepass"))
+
+
+def pair_features(hashes: np.ndarray) -> np.ndarray:
+    """The bucket of each two words that follow each other, of their hashes (uint64)."""
+    return bucket_of(hashes[:-1] * LEFT + hashes[1:] * RIGHT)
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Different buckets of a text and how often each occurs."""
     tokens = (text or "").split()
+    if not tokens:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     counts: dict[str, int] = {}
     for t in tokens:
         counts[t] = counts.get(t, 0) + 1
-    found = [token_features(t) for t in counts]
-    ids = np.fromiter((x for f in found for x in f), np.int64)
-    times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), np.fromiter(map(len, found), np.int64, len(found)))
-    total = np.bincount(ids, times, BUCKETS).astype(np.int64)
-    total[REPEAT] += REPEATED * sum(map(str.__eq__, tokens[1:], tokens))
+    times = np.fromiter(counts.values(), np.int64, len(counts))
+    hashes = {t: word_hash(t) for t in counts}
+    two, three, lengths = gram_features(list(counts))
+    each = np.repeat(times, lengths)
+    own = np.fromiter(hashes.values(), np.int64, len(hashes)) % BUCKETS
+    pairs = pair_features(np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)))
+    total = np.zeros(BUCKETS, np.int64)
+    for ids, n in ((own, times), (two, each), (three, each), (pairs, np.ones(len(pairs), np.int64))):
+        total += np.bincount(ids[ids >= 0], n[ids >= 0], BUCKETS).astype(np.int64)
     ids = np.flatnonzero(total)
     return ids.astype(np.int32), total[ids].astype(np.int32)
 
 
+class Words(dict):
+    """Words to places in arrays of the sum and number of their features and of their hashes."""
+
+    def __init__(self, numbers: np.ndarray, most: int = CACHE):
+        super().__init__()
+        self.numbers, self.most = np.append(numbers, 0.0), most  # bucket -1 counts nothing
+        self.sums, self.sizes, self.hashes = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.uint64)
+
+    def learn(self, tokens: list[str]) -> None:
+        """Gives places to words that have none."""
+        first, last = len(self), len(self) + len(tokens)
+        while last > len(self.sums):
+            self.sums, self.sizes, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.sizes, self.hashes))
+        two, three, lengths = gram_features(tokens)
+        hashes = np.fromiter(map(word_hash, tokens), np.uint64, len(tokens))
+        starts = np.cumsum(lengths) - lengths
+        self.sums[first:last] = np.add.reduceat(self.numbers[two] + self.numbers[three], starts) + self.numbers[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
+        self.sizes[first:last] = 2 * lengths - 2
+        self.hashes[first:last] = hashes
+        self.update(zip(tokens, range(first, last)))
+
+    def mean(self, text: str | None) -> float:
+        """The mean number of a text's features; 0 without any."""
+        tokens, total, n, before = (text or "").split(), 0.0, 0, None
+        for at in range(0, len(tokens), 4096):  # so that one text adds few words at once
+            if len(self) > self.most:
+                self.clear()
+            part = tokens[at : at + 4096]
+            if new := [t for t in dict.fromkeys(part) if t not in self]:
+                self.learn(new)
+            places = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            hashes = self.hashes[places] if before is None else np.concatenate((before, self.hashes[places]))
+            before = hashes[-1:]
+            total += float(self.sums[places].sum() + self.numbers[pair_features(hashes)].sum())
+            n += int(self.sizes[places].sum()) + len(hashes) - 1
+        return total / n if n else 0.0
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: float = 0.2, seed: int = 7) -> tuple[np.ndarray, float]:
     """A number for each bucket and the bias: the logit of class 1 is the bias plus the mean of a text's numbers."""
     rng = np.random.default_rng(seed)
@@ -110,23 +172,9 @@ def scorer(model: tuple[np.ndarray, float]):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, known = np.frombuffer(raw), {}  # known words serve all batches of a task
+        known = Words(np.frombuffer(raw))  # known words serve all batches of a task
         for texts in batches:
-            out = np.empty(len(texts))
-            for i, text in enumerate(texts):
-                tokens = (text or "").split()
-                n = REPEATED * sum(map(str.__eq__, tokens[1:], tokens))
-                total = n * own[REPEAT]
-                for t in tokens:
-                    got = known.get(t)
-                    if got is None:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        ids = token_features(t)
-                        got = known[t] = (float(own[ids].sum()), len(ids))
-                    total += got[0]
-                    n += got[1]
-                out[i] = bias + (total / n if n else 0.0)
+            out = bias + np.fromiter(map(known.mean, texts), np.float64, len(texts))
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -700, 700))))
 
     return score

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from quarry.llm import chat, decontam, html_text, line_dedup, media, mixing, pii, quality, secrets, simhash
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_chat_formatting": chat.op10_chat_formatting,
-        "pipeline": corpus_pipeline.run,
     }
 
 

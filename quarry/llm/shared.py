@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.plan import broadcast_if, cut  # noqa: F401  the operators take these from here
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -14,19 +14,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder in spark.checkpoint.dir, which the cluster shares; only where that is unset, to one of its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
-
-
-def broadcast_if(df: DataFrame, most: int) -> DataFrame:
-    """Marks df for broadcast if it has `most` rows at most; else Spark picks a shuffled join. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def short_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     """df, whose session sends Python at most so many rows at once from now on: texts can be long, and memory is bounded so."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

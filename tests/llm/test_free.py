@@ -59,6 +59,51 @@ def test_quality_edges(spark):
     assert counts.sum() > 200_000 and len(ids) < 50
 
 
+def brute_features(text):
+    """Buckets of words, of their character 2- and 3-grams and of word pairs, one by one."""
+    ws, out, top = (text or "").split(), [], 1 << 64
+    bucket = lambda h: (h * 2654435761 % top >> 24) % quality.BUCKETS
+    mixed = lambda x, y: (x * 2654435761 + y * 2246822519) % top
+    crc = lambda w: zlib.crc32(f"w{w}".encode())
+    for w in ws:
+        own = [ord(c) for c in f"<{w}>"]
+        out.append(crc(w) % quality.BUCKETS)
+        for k in range(len(own) - 1):
+            h = mixed(own[k], own[k + 1])
+            out.append(bucket(h))
+            if k + 2 < len(own):
+                out.append(bucket(mixed(h ^ h >> 29, own[k + 2])))
+    return out + [bucket(mixed(crc(a), crc(b))) for a, b in zip(ws, ws[1:])]
+
+
+def test_quality_scores_are_the_softmax_of_averages(spark):
+    rng = random.Random(2)
+    words = ["good", "text", "zz", "é", "日本", "a", "longer-word", "x" * 40]
+    texts = [None, "", " ", "one"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    rows = [(np.array(sorted(set(f)), np.int32), np.array([f.count(x) for x in sorted(set(f))], np.int32), k % 2) for k, f in enumerate(map(brute_features, texts[3:]))]
+    for (ids, counts, _), t in zip(rows, texts[3:]):
+        own = quality.text_features(t)
+        assert np.array_equal(ids, own[0]) and np.array_equal(counts, own[1])
+    numbers, bias = model = quality.train(rows)
+    got = {r["rec"]["doc_id"]: r["score"] for r in quality.scored(docs(spark, list(enumerate(texts))), model).collect()}
+    for k, t in enumerate(texts):
+        f = brute_features(t)
+        z = bias + (sum(numbers[x] for x in f) / len(f) if f else 0.0)
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_quality_shuffled_labels_are_chance(spark):
+    sf = "/root/testdata/sf0.01"
+    d, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = sorted((r["doc_id"], r["quality"]) for r in lab.collect())
+    mixed = [q for _, q in rows]
+    random.Random(1).shuffle(mixed)
+    model = quality.fit(d, spark.createDataFrame([(i, q) for (i, _), q in zip(rows, mixed)], "doc_id bigint, quality int"))
+    held = {i: q for (i, _), q in zip(rows, mixed) if zlib.crc32(str(i).encode()) % 3 == 1}
+    got = [(r["score"], held[r["rec"]["doc_id"]]) for r in quality.scored(d, model).collect() if r["rec"]["doc_id"] in held]
+    assert 0.25 < auc(np.array([s for s, _ in got]), np.array([q for _, q in got])) < 0.75
+
+
 # HTML
 
 
@@ -267,6 +312,11 @@ def test_media_query(spark, sf):
     assert len(rows) == len(texts)
     for r in rows:
         raw = (texts[r["doc_id"]] or "").encode()
+        frames = -(-max(1, -(-len(raw) // 64)) * 64 // (1440 - 38))  # of 320 kbit/s at 32 kHz: 1440 bytes, 38 of them header and silence
+        d = media.Fraction(1152 * frames, 32000)
+        assert f" frames={frames} duration={d.numerator}/{d.denominator} " in r["feature"]
+        stream = media.encode(*media.payload_of(texts[r["doc_id"]]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest()) and r["feature"].endswith("damaged=0 skipped=0")
         padded = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
 
@@ -315,6 +365,43 @@ def test_pii_added_kinds():
     assert kinds("Account no. 12345678, acct: 99") == [("account", "12345678")]
     assert kinds("see https://bob:pw@host/x or http://host/@y") == [("login", "bob:pw")]
     assert kinds("accountant 12345678") == []
+    assert kinds("IBAN: de89 3704 0044 0532 0130 00.") == [("iban", "de89 3704 0044 0532 0130 00")]
+    assert kinds("iban DE89370400440532013000") == [("iban", "DE89370400440532013000")]
+    assert kinds("Passport no. C01X00T47, passport: ABCDEFG") == [("passport", "C01X00T47")]
+    assert kinds("<a href='mailto:a.b@x.org,\u00e9@y.org?subject=1@2'>") == [("mailto", "a.b@x.org,\u00e9@y.org")]
+
+
+def brute_added(text):
+    """The added kinds by patterns over the whole text."""
+    out, at = [], 0
+    while m := re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}").search(text, at):
+        at = m.start() + 1
+        for end in range(m.end(), m.start() + 14, -1):
+            s = text[m.start() : end].replace(" ", "")
+            if text[end - 1] != " " and 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
+                out.append((m.start(), 4, end))
+                at = end
+                break
+    for m in re.finditer(r"(?:account|Account|ACCOUNT|acct|konto|ssn|routing)(?i:\s*(?:no|nr|number|num)?)[.:#=\s]{1,4}([0-9][0-9 -]{4,20}[0-9])", text):
+        if 6 <= len(re.sub("[^0-9]", "", m[1])) <= 17:
+            out.append((m.start(1), 5, m.end(1)))
+    out += [(m.start(1), 6, m.end(1)) for m in re.finditer(r"(?:https?|ftp|ssh)://([^\s/@?#]+)@", text)]
+    out += [(m.start(1), 8, m.end(1)) for m in re.finditer(r"(?:passport|Passport)(?i:\s*(?:no|nr|number|num)?)[.:#=\s]{1,4}([A-Z0-9]{6,9})(?![A-Za-z0-9])", text) if len(re.sub("[^0-9]", "", m[1])) >= 4]
+    return sorted(out)
+
+
+def test_pii_added_random():
+    rng = random.Random(8)
+    pieces = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "XX12", "account: 12345678", "acct 99", "konto=1234-5678 90", "ssn 123-45-6789", "http://bob:pw@h", "ssh://me@", "passport C01X00T47", "Passport no. 123456789", "A", "9", " ", ",", "é", "/", "x"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", "; "]) for _ in range(rng.randrange(0, 8)))
+        assert [s for s in pii.spans(text) if s[1] in (4, 5, 6, 8)] == brute_added(text), text
+
+
+def test_pii_and_media_text_ids(spark):
+    df = spark.createDataFrame([("a", "b@c.de"), (None, None)], "doc_id string, text string")
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in pii.scan(df).collect()) == [("None", ""), ("a", "email:0:6")]
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in media.store(df).collect()) == [("None", 0), ("a", 6)]
 
 
 def test_pii_edges(spark):
