@@ -11,7 +11,7 @@ that all below share and their pattern; a search adds up the differences in shar
 exceed 3, or takes it once they cannot. A bucket gives a spanning forest of its links, never all pairs. Buckets of more than
 BUCKET fingerprints are dealt out once more by quarters of the bits outside their key: 3 differences leave one quarter equal, so this loses no link.
 
-Components come from alternating large-star and small-star steps on links, as joins and aggregates, until nothing changes.
+Components come from alternating large-star and small-star steps on links, as joins and aggregates, until all are stars.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0, which is linked like any other; fewer
 than 3 words are one shingle; a null doc_id comes after all others, so a component of only such has null; rows
@@ -176,25 +176,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _to_least(pairs: DataFrame) -> DataFrame:
+    """a, b: what stands beside `a` in pairs (a itself may) moves to the smallest of these."""
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
+    return pairs.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+
+
+def _pairs(edges: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    return edges.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """v, root: the smallest node that links reach, for every node that has a link."""
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(edges.filter("a <> b"))
-    before = None
+    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
-        # large star: larger neighbours move to the smallest neighbour; small star: the smaller ones do
-        two = both(edges)
-        least = two.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        moved = two.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = moved.union(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = cut(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+        # settled: each node is below one other at most, and none is both above and below, so all roots are least
+        below, above = F.struct(F.col("a").alias("v"), F.lit(1).alias("d"), F.lit(0).alias("u")), F.struct(F.col("b").alias("v"), F.lit(0).alias("d"), F.lit(1).alias("u"))
+        roles = edges.select(F.inline(F.array(below, above))).groupBy("v").agg(F.sum("d").alias("d"), F.max("u").alias("u"))
+        if roles.filter("d > 1 or d > 0 and u > 0").isEmpty():
             break
-        before = now
+        # large star: a node and its larger neighbours move to the smallest of it and its neighbours; small star: the smaller ones do
+        two = _pairs(edges, ("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"))
+        least = two.groupBy("a").agg(F.min("b").alias("m"))
+        up = two.filter("b >= a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        edges = cut(_to_least(_pairs(up, ("a", "b"), ("a", "a"))))
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b"))).distinct()
