@@ -5,10 +5,12 @@ words of an item, or all words of a shorter one. Every window of at least 2b - 1
 holds a whole block of b words that starts at a multiple of b there (b is the largest such number for the shortest
 window). So documents are cut into these blocks, each with the words around it that a window could reach; a
 broadcast hash set of the items' b-grams leaves the few blocks that any window could hold; the windows around these
-are held against the items' windows, text against text. The sets are broadcast only up to BOUND rows; beyond, joins shuffle.
+are held against the items' windows, text against text, and only what occurs is joined with the ids of its items. Windows
+of less than half the length of the longest are looked for in a scan of their own, so that a short item does not shorten
+the blocks of all. Sets are broadcast up to BOUND rows and BYTES of text; beyond, joins shuffle.
 
 Defined cases: a null or empty text has no words and no hits; items without words have no window; an item_id that is
-null marks words but is not listed; items or documents that repeat count once, and each row of the same doc_id and
+null marks words but is not listed; a very long text is scanned as a whole, block by block; items or documents that repeat count once, and each row of the same doc_id and
 text gets the same result; an empty benchmark hits nothing; other columns are not read, or pass through.
 """
 
@@ -22,7 +24,7 @@ from quarry.llm.shared import ascii_lower, broadcast_if, cut, pieces, read, reco
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same for a text whose A-Z have not been lower-cased.
 NOT_WORD_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BOUND = 1_000_000
+BOUND, BYTES = 1_000_000, 64 << 20
 
 
 def words(text) -> Column:
@@ -35,20 +37,26 @@ def _grams(ws, n) -> Column:
 
 
 def item_windows(benchmark: DataFrame, width: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """gram, len, items (sorted ids as strings): one row for each different window."""
+    """gram, len, item (the id as a string): a row for each different window of an item."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")).filter(F.size("ws") > 0)
     n = F.least(F.lit(width), F.size("ws"))
-    rows = items.select("item", n.alias("len"), F.explode(_grams(F.col("ws"), n)).alias("gram"))
-    return rows.groupBy("gram", "len").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return items.select("item", n.alias("len"), F.explode(_grams(F.col("ws"), n)).alias("gram")).distinct()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """id, tk, places (start and len of windows that occur, word numbers from 0), items; None for a benchmark without words."""
-    grams = cut(item_windows(benchmark, width))
-    found = grams.agg(F.min("len").alias("least"), F.max("len").alias("most"), F.collect_set("len").alias("lens")).first()
-    if found["least"] is None:
-        return None
-    most, b = found["most"], (found["least"] + 1) // 2
+def length_classes(lens: list[int]) -> list[list[int]]:
+    """The lengths in classes, each from half its longest on."""
+    out: list[list[int]] = []
+    for n in sorted(lens, reverse=True):
+        if out and 2 * n >= out[-1][0]:
+            out[-1].append(n)
+        else:
+            out.append([n])
+    return out
+
+
+def _scan(docs: DataFrame, grams: DataFrame, lens: list[int], small: bool, id_col: str, text_col: str) -> DataFrame:
+    """id, tk, start, len, gram of the windows of these lengths that occur."""
+    grams, most, b = grams.filter(F.col("len").isin(lens)), max(lens), (min(lens) + 1) // 2
     reach = -(-(most - b) // b)  # blocks to either side that a window around a block can touch
     block = lambda g: F.xxhash64(F.lower(g))  # noqa: E731  lower() changes more than A-Z, so equal words still have equal hashes
     blocks = grams.select(F.explode(_grams(F.split("gram", " "), F.lit(b))).alias("g")).select(block(F.col("g")).alias("bh")).distinct()
@@ -70,15 +78,32 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
         window = lambda i: F.struct((i - F.col("blank")).alias("start"), F.lit(length).alias("len"), F.array_join(F.slice("near", i - F.col("low") + 1, F.lit(length)), " ").alias("gram"))
         return F.when(last >= first, F.transform(F.sequence(first, last), window)).otherwise(F.array().cast("array<struct<start:int,len:int,gram:string>>"))
 
-    tried = cutup.select("id", "tk", F.inline(F.concat(*[around(x) for x in sorted(found["lens"])])))
-    known = broadcast_if(grams.select("gram", "len", "items"), BOUND)
-    return tried.join(known, ["gram", "len"]).groupBy("id", "tk").agg(F.collect_set(F.struct("start", "len")).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    tried = cutup.select("id", "tk", F.inline(F.concat(*[around(x) for x in sorted(lens)])))
+    return tried.join(F.broadcast(grams) if small else grams, ["gram", "len"], "left_semi").select("id", "tk", "start", "len", "gram")
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """rec (the columns of docs), id, text, n_words, hit (sorted numbers of hit words), items (sorted ids)."""
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", with_items: bool = True) -> DataFrame | None:
+    """id, tk, places (start and len of windows that occur, word numbers from 0), items (without with_items: none); None for a benchmark without words."""
+    owned = cut(item_windows(benchmark, width))
+    grams = cut(owned.select("gram", "len").distinct())
+    sizes = {r["len"]: r for r in grams.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.octet_length("gram")).alias("bytes")).collect()}  # `width` rows at most
+    if not sizes:
+        return None
+    found = None
+    for lens in length_classes(list(sizes)):
+        small = sum(sizes[x]["n"] for x in lens) <= BOUND and sum(sizes[x]["bytes"] for x in lens) <= BYTES
+        own = _scan(docs, grams, lens, small, id_col, text_col)
+        found = own if found is None else found.union(own)
+    if with_items:
+        found = found.join(owned, ["gram", "len"])
+    items = F.collect_set("item") if with_items else F.array().cast("array<string>")
+    return found.groupBy("id", "tk").agg(F.collect_set(F.struct("start", "len")).alias("places"), items.alias("items"))
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, width: int = 10, with_items: bool = True) -> DataFrame:
+    """rec (the columns of docs), id, text, n_words, hit (sorted numbers of hit words), items (sorted ids, if with_items)."""
     rows = docs.select(record(docs), F.col("doc_id").alias("id"), F.col("text").alias("text"), F.xxhash64("text").alias("tk"))
-    found = hits(docs, benchmark, width)
+    found = hits(docs, benchmark, width, with_items=with_items)
     none = F.array().cast("array<int>"), F.array().cast("array<string>")
     rows = rows.withColumn("n_words", pieces(F.col("text"), NOT_WORD_RAW))
     if found is None:
@@ -91,7 +116,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove: str = "documents") -> DataFrame:
     """The columns of docs, without the documents that hold a window, or ("spans") with the hit words cut out of the texts."""
-    marked = mark(docs, benchmark, width)
+    marked = mark(docs, benchmark, width, with_items=False)
     if remove == "documents":
         return with_text(marked.filter(F.size("hit") == 0), docs.columns, F.col("text"))
     gaps = F.split("text", NOT_WORD_RAW.replace("[", "[^", 1), -1)  # between words; each run of them is one match
