@@ -3,14 +3,14 @@
 The mix is as long as the input. Each source has a target: its share of all words by weight, at most `most` times
 its own words; what is above goes to the others by weight. The mix is then cut into equal blocks of `block`
 words. Blocks go to sources by the highest quotients target / (2k + 1), and in each source to its shards (documents
-dealt out by a seeded hash, at most `max_shards` of them) by words / (2k + 1): whole quotas for each shard. In a
+dealt out by a seeded hash, at most `max_shards` or the root of their number, if that is more) by words / (2k + 1): whole quotas for each shard. In a
 shard, the documents stand in seeded order as one line of words; a quota of more than the line is taken as whole
 passes, and the rest as consecutive blocks of it from a seeded block on, going round at the end.
 
 Each source's taken words so differ from its target by about a block. No document is taken more than `most` times.
 
 Defined cases: null and empty texts have size 0 and are never taken; a null source is a source, the last by code
-point; rows that repeat are documents of their own; all sizes 0: all targets 0; an empty table: an empty result.
+point; a column of documents that has the name of one of the results is replaced by it; rows that repeat are documents of their own; all sizes 0: all targets 0; an empty table: an empty result.
 One row per source is ranked in one task; what grows with the documents is not.
 """
 
@@ -34,7 +34,7 @@ def seeded(seed: int, *cols) -> Column:
 
 
 def sainte_lague(votes: DataFrame, group: list[str], key: list[str], vote: str, seats: str) -> DataFrame:
-    """group, key, quota: `seats` (one number for each group) given out by the highest quotients, ties by key.
+    """group, key, quota, vote: `seats` (one number for each group) given out by the highest quotients, ties by key.
 
     Only the quotients near the cut are ranked: what shares are rounded to moves by less than c below, so each
     key's first `low` quotients are in and those above `high` are out. That is about 10 rows for each key.
@@ -50,7 +50,7 @@ def sainte_lague(votes: DataFrame, group: list[str], key: list[str], vote: str,
     quotients = near.withColumn("q_k", F.explode(F.sequence("q_low", "q_high")))
     quotients = quotients.withColumn("q_rank", F.row_number().over(g.orderBy((F.col(vote).cast("double") / (2 * F.col("q_k") + 1)).desc(), *key)))
     quota = F.max("q_low") + F.sum(F.when((F.col("q_rank") <= F.col("q_left")) & (F.col(vote) > 0), 1).otherwise(0))
-    return quotients.groupBy(*group, *key).agg(quota.cast("bigint").alias("quota"))
+    return quotients.groupBy(*group, *key).agg(quota.cast("bigint").alias("quota"), F.max(vote).alias(vote))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = 3) -> DataFrame:
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int = 32, shard_
     plan = cut(targets(sizes, weights, most))
     blocks = F.round(F.col("total") / block).cast("bigint")
     given = sainte_lague(plan.withColumns({"all": F.lit(0), "seats": blocks}), ["all"], ["src"], "target", "seats").select("src", "quota")
-    shards = F.least(F.lit(max_shards), F.ceil(F.col("n_docs") / shard_docs)).cast("bigint")
+    shards = F.least(F.greatest(F.lit(max_shards), F.ceil(F.sqrt("n_docs"))), F.ceil(F.col("n_docs") / shard_docs)).cast("bigint")
     sources = broadcast_if(cut(plan.join(given, "src").withColumn("n_shards", shards)).withColumnRenamed("source", "source2"), 100_000)
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -88,10 +88,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, block: int = 32, shard_
 
     lines = placed(sizes).groupBy("src", "shard").agg(F.sum("size").alias("line"), F.max("quota").alias("seats"))
     quotas = sainte_lague(lines, ["src"], ["shard"], "line", "seats")
-    line = W.partitionBy("src", "shard")
     own = placed(rows).select("rec", "id", "size", "source_size", "target", "src", "shard")
-    order = line.orderBy(seeded(seed + 1, "id"), "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = own.withColumns({"line": F.sum("size").over(line), "upto": F.sum("size").over(order)}).join(quotas, ["src", "shard"])
+    order = W.partitionBy("src", "shard").orderBy(seeded(seed + 1, "id"), "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = own.withColumn("upto", F.sum("size").over(order)).join(quotas, ["src", "shard"])  # a running sum: no shard's texts are held
     length = F.greatest(F.col("line"), F.lit(1))
     out = out.withColumn("words", F.least(F.col("quota") * block, most * F.col("line")))
     out = out.withColumns({"passes": F.floor(F.col("words") / length), "rest": F.pmod("words", length), "start": F.pmod(seeded(seed + 2, "src", "shard"), F.ceil(length / F.lit(block))) * block})
@@ -122,7 +121,7 @@ t AS (SELECT *, least((3 * source_size)::DOUBLE, max((total - capped)::DOUBLE /
 q AS (SELECT src, target / (2 * k + 1) AS quotient FROM t, unnest(range(0, CAST(2 + 2 * seats * target / greatest(total, 1) AS BIGINT))) AS u(k)),
 r AS (SELECT src, row_number() OVER (ORDER BY quotient DESC, src) AS place FROM q WHERE quotient > 0),
 g AS (SELECT t.src, (SELECT count(*) FROM r WHERE r.src = t.src AND place <= t.seats) AS quota FROM t),
-p AS (SELECT d.*, t.src, t.source_size, t.target, g.quota AS source_quota, n_md5(concat('17:', d.doc_id)) % least(4096, ceil(t.n_docs / 256.0)::BIGINT) AS shard
+p AS (SELECT d.*, t.src, t.source_size, t.target, g.quota AS source_quota, n_md5(concat('17:', d.doc_id)) % least(greatest(4096, ceil(sqrt(t.n_docs))::BIGINT), ceil(t.n_docs / 256.0)::BIGINT) AS shard
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN g USING (src)),
 l AS (SELECT src, shard, sum(size)::BIGINT AS line, any_value(source_quota) AS seats FROM p GROUP BY src, shard),
 lq AS (SELECT src, shard, seats, line::DOUBLE / (2 * k + 1) AS quotient FROM l, unnest(range(0, CAST(2 + 2 * seats AS BIGINT))) AS u(k)),
