@@ -105,6 +105,8 @@ def test_mixing_edges(spark):
     out = mixing.mix_documents(docs(spark, [(1, "a b c", "s"), (2, "", "s"), (2, "d e", None)]))
     assert out.columns[-4:] == ["size", "source_size", "target", "taken"] and "rec" in out.columns
     assert all(r["taken"] > 0 for r in out.collect())
+    named = docs(spark, [(1, "a b " * 32, "s")]).withColumn("size", F.lit("own")).withColumn("taken", F.lit(-1))
+    assert [(r["size"], r["taken"]) for r in mixing.mix_documents(named).collect()] == [(64, 64)]
 
 
 def brute_seats(votes, seats):
@@ -231,6 +233,22 @@ def test_decontamination_random(spark, seed, least):
         assert got[i] == brute_hits(t, items), t
 
 
+def test_length_classes():
+    assert decontam.length_classes([10]) == [[10]] and decontam.length_classes([1, 2, 4, 5, 10, 7]) == [[10, 7, 5], [4, 2], [1]]
+
+
+def test_decontamination_without_broadcast(spark, monkeypatch):
+    """Beyond the bounds joins shuffle, and without items the same words are hit."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate((12, 10, 3, 1))]
+    df, bench = docs(spark, [(i, f"a {t.upper()} b") for i, t in items] + [(9, "none")]), spark.createDataFrame([*items, (7, items[0][1])], "item_id bigint, text string")
+    want = {r["id"]: (list(r["hit"]), list(r["items"])) for r in decontam.mark(df, bench).collect()}
+    assert want[0] == (list(range(1, 13)), ["0", "7"]) and want[2] == ([1, 2, 3], ["2"]) and want[9] == ([], [])
+    monkeypatch.setattr(decontam, "BYTES", 1)
+    monkeypatch.setattr(decontam, "BOUND", 0)
+    assert {r["id"]: (list(r["hit"]), list(r["items"])) for r in decontam.mark(df, bench).collect()} == want
+    assert {r["id"]: list(r["hit"]) for r in decontam.mark(df, bench, with_items=False).collect()} == {k: v[0] for k, v in want.items()}
+
+
 def test_decontamination_edges(spark):
     schema = "item_id bigint, text string"
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (1, None), (2, ""), (None, "p q r s"), (3, "Solo!")], schema)
