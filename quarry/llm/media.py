@@ -1,15 +1,17 @@
-"""Media columns: MPEG audio (MPEG-1 Layer III).
+"""Media columns: MPEG audio (MPEG-1, 2 and 2.5, Layers I to III).
 
-`parse` reads any bytes: it skips ID3v2 and ID3v1 tags, resynchronises on frame headers (a header counts if another one, or the
-end, stands where its frame ends), checks the CRC-16 of frames that carry one, reads the Xing table of variable bitrate,
-and gives the exact duration as samples over rate, and the byte offset of each frame for seeking.
+`parse` reads any bytes: it skips ID3v2 and ID3v1 tags, resynchronises on frame headers (a header counts if another one of the same
+version, layer and rate, or the end, stands where its frame ends), checks the CRC-16 of frames that carry one (not of Layer II, whose
+covered bits depend on its allocation tables), reads the Xing, Info or VBRI table of variable bitrate and holds it against the frames
+found, and gives the exact duration as samples over rate, and the byte offset of each frame for seeking.
 
 `encode` stores a payload losslessly in such a stream: an ID3v2 tag with its length and CRC-32, a Xing frame, then frames
 whose side information is all zero (silence) and whose ancillary bytes carry the payload; the last frame takes
 the smallest bitrate that holds the rest. `decode` gets the payload back from the frames and verifies every checksum.
 
 Defined cases: a null or empty text is a payload of 64 zero bytes; equal texts give equal bytes; bytes without a frame parse to no frames and duration 0; a
-frame with a wrong checksum is skipped and counted as damaged; an empty table gives an empty result.
+frame with a wrong checksum is skipped and counted as damaged; frames of free format are not frames here; a table that does not agree
+with the frames changes nothing else; a very long text is stored and read as a whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 from fractions import Fraction
+from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,8 +31,20 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import read
 
+# fixed values of the format: Hz of MPEG-1 (MPEG-2 halves them, 2.5 quarters them), kbit/s by (MPEG-1 or not, layer)
 RATES = (44100, 48000, 32000)
 KBPS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+LOW_KBPS = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
+KBPS_OF = {
+    (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (True, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (True, 3): KBPS,
+    (False, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (False, 2): LOW_KBPS,
+    (False, 3): LOW_KBPS,
+}
+#: The divisor of the rates by the version bits, and what such a version is called.
+DIVISOR, VERSION = {3: 1, 2: 2, 0: 4}, {1: "1", 2: "2", 4: "2.5"}
 SAMPLES, SIDE = 1152, 32
 UNIT = 64
 
@@ -42,14 +59,34 @@ def crc16(data: bytes) -> int:
     return crc
 
 
-def header(head: bytes) -> tuple[int, int, bool, int] | None:
-    """Length of the frame, sample rate, whether it has a CRC, bytes of side information; None if it is no header of MPEG-1 Layer III."""
-    if len(head) < 4 or head[0] != 0xFF or head[1] & 0xFE != 0xFA:
+class Head(NamedTuple):
+    """Length of the frame, (divisor, layer, rate), its samples, whether it has a CRC, bytes of side information, bytes that the CRC covers behind it (None: not known)."""
+
+    length: int
+    kind: tuple[int, int, int]
+    samples: int
+    protected: bool
+    side: int
+    covered: int | None
+
+
+@lru_cache(4096)
+def header(head: bytes) -> Head | None:
+    """What four bytes say as a header; None if they are none."""
+    if len(head) < 4 or head[0] != 0xFF or head[1] & 0xE0 != 0xE0:
         return None
+    divisor, layer = DIVISOR.get(head[1] >> 3 & 3), 4 - (head[1] >> 1 & 3)
     kbps, rate, pad = head[2] >> 4, head[2] >> 2 & 3, head[2] >> 1 & 1
-    if not 0 < kbps < 15 or rate == 3:
+    if divisor is None or layer == 4 or not 0 < kbps < 15 or rate == 3:
         return None
-    return 144000 * KBPS[kbps] // RATES[rate] + pad, RATES[rate], not head[1] & 1, 17 if head[3] >> 6 == 3 else SIDE
+    hz, speed, mono = RATES[rate] // divisor, 1000 * KBPS_OF[divisor == 1, layer][kbps], head[3] >> 6 == 3
+    protected = not head[1] & 1
+    if layer == 1:  # four bits for each of 32 subbands, of each channel below the bound of joint stereo
+        bound = 4 * ((head[3] >> 4 & 3) + 1) if head[3] >> 6 == 1 else 32
+        return Head((12 * speed // hz + pad) * 4, (divisor, 1, hz), 384, protected, 0, 16 if mono else (32 + bound) // 2)
+    samples = 576 if layer == 3 and divisor > 1 else 1152
+    side = 0 if layer == 2 else (17 if mono else SIDE) if divisor == 1 else (9 if mono else 17)
+    return Head(samples // 8 * speed // hz + pad, (divisor, layer, hz), samples, protected, side, side if layer == 3 else None)
 
 
 @dataclass
@@ -57,12 +94,27 @@ class Audio:
     tags: dict[str, str] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
     lengths: list[int] = field(default_factory=list)
-    rate: int = 0
+    kind: tuple[int, int, int] | None = None
     damaged: int = 0
     skipped: int = 0
     vbr: dict | None = None
     duration: Fraction = Fraction(0)
 
+    @property
+    def rate(self) -> int:
+        return self.kind[2] if self.kind else 0
+
+    @property
+    def table_agrees(self) -> bool | None:
+        """Whether the table of variable bitrate counts the frames found; None where no table says."""
+        return self.vbr["frames"] == len(self.offsets) if self.vbr and "frames" in self.vbr else None
+
+    def seek(self, second) -> int | None:
+        """The byte offset of the frame that plays at this time; None outside. All frames of a stream last equally long."""
+        if not 0 <= second < self.duration:
+            return None
+        return self.offsets[int(Fraction(second) * len(self.offsets) / self.duration)]
+
 
 def _synchsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
@@ -105,35 +157,51 @@ def parse(data: bytes | None) -> Audio:
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
-    in_step = False
+    in_step, played = False, Counter()
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        after = at + h[0] if h else 0
-        if not h or after > end or not in_step and after + 4 <= end and not header(data[after : after + 4]):
+        after = at + h.length if h else 0
+        if h and after <= end and not in_step and after + 4 <= end:
+            following = header(data[after : after + 4])
+            h = h if following and following.kind == h.kind else None
+        if not h or after > end:
             step = data.find(b"\xff", at + 1, end)
             step = end if step < 0 else step
             out.skipped += step - at
             at, in_step = step, False
             continue
-        n, rate, protected, side = h
         in_step = True
-        if protected and _crc_of(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
+        if h.protected and h.covered is not None and _crc_of(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.covered]) != int.from_bytes(data[at + 4 : at + 6], "big"):
             out.damaged += 1
             at, in_step = after, False
             continue
-        xing = at + (6 if protected else 4) + side
-        if out.vbr is None and not out.offsets and data[xing : xing + 4] in (b"Xing", b"Info"):
-            out.vbr = _xing(data[xing:after])
-        else:
+        table = None
+        if out.vbr is None and not out.offsets and h.kind[1] == 3:
+            table = _table(data[at:after], (6 if h.protected else 4) + h.side)
+        if table is None:
             out.offsets.append(at)
-            out.lengths.append(n)
-        out.rate = out.rate or rate
+            out.lengths.append(h.length)
+            played[h.samples, h.kind[2]] += 1
+        else:
+            out.vbr = table
+        out.kind = out.kind or h.kind
         at = after
     out.skipped += max(0, end - at)
-    out.duration = Fraction(SAMPLES * len(out.offsets), out.rate) if out.rate else Fraction(0)
+    out.duration = sum((Fraction(samples * n, hz) for (samples, hz), n in played.items()), Fraction(0))
     return out
 
 
+def _table(frame: bytes, behind_side: int) -> dict | None:
+    """The table that a frame holds instead of sound: Xing or Info behind the side information, VBRI 32 bytes behind the header."""
+    if frame[behind_side : behind_side + 4] in (b"Xing", b"Info"):
+        return _xing(frame[behind_side:])
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, entries, scale, width, each = struct.unpack(">IIHHHH", frame[46:62])
+        sizes = [int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big") * scale for k in range(entries)]
+        return {"frames": frames, "bytes": size, "frames_per_entry": each, "sizes": sizes}
+    return None
+
+
 def _xing(body: bytes) -> dict:
     flags, at, out = int.from_bytes(body[4:8], "big"), 8, {}
     for bit, name in ((1, "frames"), (2, "bytes")):
@@ -189,21 +257,35 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 def feature(audio: Audio) -> str:
     seek = hashlib.md5(b",".join(b"%d" % x for x in audio.offsets)).hexdigest()
     d = audio.duration
-    return f"mpeg1-layer3 rate={audio.rate} frames={len(audio.offsets)} duration={d.numerator}/{d.denominator} first={audio.offsets[0] if audio.offsets else -1} last={audio.offsets[-1] if audio.offsets else -1} seek_md5={seek} damaged={audio.damaged} skipped={audio.skipped}"
+    divisor, layer, _ = audio.kind or (1, 3, 0)
+    return f"mpeg{VERSION[divisor]}-layer{layer} rate={audio.rate} frames={len(audio.offsets)} duration={d.numerator}/{d.denominator} first={audio.offsets[0] if audio.offsets else -1} last={audio.offsets[-1] if audio.offsets else -1} seek_md5={seek} damaged={audio.damaged} skipped={audio.skipped}"
 
 
 def describe(batches):
     """mapInPandas: content (bytes) to exact duration, seek offsets and what else parse() finds, a row for each."""
     for pdf in batches:
         found = [parse(x) for x in pdf["content"]]
-        yield pdf.drop(columns="content").assign(n_frames=[len(a.offsets) for a in found], rate=[a.rate for a in found], duration_num=[a.duration.numerator for a in found], duration_den=[a.duration.denominator for a in found], offsets=[a.offsets for a in found], damaged=[a.damaged for a in found], skipped=[a.skipped for a in found])
+        yield pdf.drop(columns="content").assign(
+            version=[VERSION[a.kind[0]] if a.kind else None for a in found],
+            layer=pd.array([a.kind[1] if a.kind else None for a in found], "Int32"),
+            n_frames=[len(a.offsets) for a in found],
+            rate=[a.rate for a in found],
+            duration_num=[a.duration.numerator for a in found],
+            duration_den=[a.duration.denominator for a in found],
+            offsets=[a.offsets for a in found],
+            damaged=[a.damaged for a in found],
+            skipped=[a.skipped for a in found],
+            tags=[a.tags for a in found],
+            table_agrees=pd.array([a.table_agrees for a in found], "boolean"),
+        )
 
 
 def audio_columns(media: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
-    """Of a table of files: id, n_frames, rate, duration_num / duration_den (seconds), offsets, damaged, skipped."""
+    """Of a table of files: id, version, layer, n_frames, rate, duration_num / duration_den (seconds), offsets, damaged, skipped, tags, table_agrees
+    (null without a table of variable bitrate that counts frames)."""
     rows = media.selectExpr(f"`{id_col}` as id", f"`{content_col}` as content")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(describe, f"id {kind}, n_frames bigint, rate int, duration_num bigint, duration_den bigint, offsets array<bigint>, damaged bigint, skipped bigint")
+    return rows.mapInPandas(describe, f"id {kind}, version string, layer int, n_frames bigint, rate int, duration_num bigint, duration_den bigint, offsets array<bigint>, damaged bigint, skipped bigint, tags map<string,string>, table_agrees boolean")
 
 
 SCHEMA = "doc_id string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
