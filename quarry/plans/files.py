@@ -1,9 +1,11 @@
-"""Queries that write a table as text and read it back: the text sources and sinks, held against SQL on the table."""
+"""Queries that write a table to files and read it back: the sources and sinks, held against SQL on the table."""
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from quarry.functions.plan import shared_folder
 from quarry.operators import kmeans, prep, spectral
 from quarry.plans import catalog
 from quarry.plans.catalog import CLUSTERS, _GRAPH, _P, _SEEDS, _SPARSE, _assigned, _sparse, points, query, r6
-from quarry.sources import text
+from quarry.sources import images, netcdf, text
+from quarry.sources.files import listed, write_packed
 
 
 def _path(spark) -> str:
@@ -113,3 +116,38 @@ def csv_text(spark, sf_dir: str) -> DataFrame:
 @query(f"WITH {_P}, n AS (SELECT a.id, a.v AS a, b.v AS b FROM p a JOIN p b ON b.id = a.id + 1) SELECT id, round(sqrt(list_inner_product(a, a) + list_inner_product(b, b) - 2 * list_inner_product(a, b)), 6) AS dist FROM n")
 def dense_euclid(spark, sf_dir: str) -> DataFrame:
     return catalog._next(points(spark, sf_dir), "vector").select("id", r6(V.euclid("a", "b")).alias("dist"))
+
+
+def _bytes(spark, sf_dir: str) -> DataFrame:
+    """id, label, data: vectors as bytes."""
+    return points(spark, sf_dir).select("id", "label", F.transform("vector", lambda x: F.pmod(F.floor(x * 100), F.lit(256)).cast("int")).alias("data"))
+
+
+_HEX = "array_to_string(list_transform(v, lambda x: printf('%02X', (floor(x * 100)::INT % 256 + 256) % 256)), '') AS data"
+
+
+def _netcdf(spark, sf_dir: str) -> str:
+    path = _path(spark)
+    write_packed(_bytes(spark, sf_dir), path, lambda pdf: netcdf.pack(np.array(pdf["data"].tolist(), np.uint8), pdf["label"].to_numpy()), 500)
+    return path
+
+
+@query(f"WITH {_P} SELECT row_number() OVER (ORDER BY id) - 1 AS id, label, {_HEX} FROM p")
+def netcdf_rows(spark, sf_dir: str) -> DataFrame:
+    return netcdf.read_netcdf(spark, _netcdf(spark, sf_dir), rows_per_partition=200).select("id", "label", F.hex("data").alias("data"))
+
+
+@query("SELECT u.name, u.kind, u.dims, count(*) AS n_rows, u.width FROM embeddings, (VALUES ('data', 'BYTE', 'row,byte', 64), ('labels', 'INT', 'row', 1)) u(name, kind, dims, width) GROUP BY ALL")
+def netcdf_metadata(spark, sf_dir: str) -> DataFrame:
+    found = [v for path in listed(_netcdf(spark, sf_dir)) for v in netcdf.describe(path)]  # two variables a file
+    rows = [(v["name"], v["kind"], ",".join(v["dims"]), v["shape"][0], int(np.prod(v["shape"][1:]))) for v in found]
+    return spark.createDataFrame(rows, "name string, kind string, dims string, n bigint, width int").groupBy("name", "kind", "dims", "width").agg(F.sum("n").alias("n_rows"))
+
+
+@query(f"WITH {_P} SELECT label, {_HEX} FROM p")
+def image_batches(spark, sf_dir: str) -> DataFrame:
+    """Batch files of images, as pickled arrays; their rows are numbered by file, so only labels and pixels are held against the table."""
+    path = _path(spark)
+    write_packed(_bytes(spark, sf_dir), path, lambda pdf: pickle.dumps({b"data": np.array(pdf["data"].tolist(), np.uint8), b"labels": pdf["label"].tolist()}), 500)
+    back = images.read_cifar(spark, path, scale=False)
+    return back.select("label", F.array_join(F.transform("pixels", lambda x: F.lpad(F.hex(x.cast("int")), 2, "0")), "").alias("data"))

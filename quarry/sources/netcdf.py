@@ -13,6 +13,7 @@ import math
 import struct
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.sources.files import listed, open_input
@@ -106,6 +107,24 @@ def read_header(f) -> Header:
     return Header(magic[3], n_records, dims, attributes, found, size)
 
 
+def pack(data: np.ndarray, labels: np.ndarray) -> bytes:
+    """A CDF-5 file with a BYTE variable `data` (rows by bytes) and an INT variable `labels` of rows."""
+    count = lambda n: struct.pack(">q", n)
+    tag = lambda t, n: struct.pack(">i", t) + count(n)
+    name = lambda said: count(len(said)) + said.encode() + bytes(-len(said) % 4)
+    bodies = [np.ascontiguousarray(x).tobytes() for x in (data.astype(np.uint8), labels.astype(">i4"))]
+    bodies = [b + bytes(-len(b) % 4) for b in bodies]
+
+    def head(begins):
+        out = b"CDF\5" + count(0) + tag(10, 2) + name("row") + count(data.shape[0]) + name("byte") + count(data.shape[1]) + tag(0, 0) + tag(11, 2)
+        for said, dims, kind, body, begin in zip(("data", "labels"), ((0, 1), (0,)), (1, 4), bodies, begins):
+            out += name(said) + count(len(dims)) + b"".join(map(count, dims)) + tag(0, 0) + struct.pack(">i", kind) + count(len(body)) + count(begin)
+        return out
+
+    size = len(head((0, 0)))
+    return head((size, size + len(bodies[0]))) + b"".join(bodies)
+
+
 def describe(path: str) -> list[dict]:
     """name, kind, dims (names) and shape of each variable."""
     with open_input(path) as f:

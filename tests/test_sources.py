@@ -12,7 +12,7 @@ from quarry.__main__ import main
 from quarry.functions import vectors as V
 from quarry.functions.plan import with_position
 from quarry.operators import network, prep
-from quarry.sources import images, netcdf, text
+from quarry.sources import files, images, netcdf, text
 from quarry.streaming.scoring import score_stream
 
 
@@ -130,6 +130,16 @@ def test_netcdf(spark, tmp_path, version, unlimited):
     assert netcdf.describe(str(path))[0] == {"name": "data", "kind": "BYTE", "dims": ["n", "w"], "shape": [4, 3]}
 
 
+def test_packed_files(spark, tmp_path):
+    df = spark.range(10).selectExpr("id", "cast(id % 3 as int) AS label", "array(cast(id as int), 200, 7) AS data")
+    pack = lambda pdf: netcdf.pack(np.array(pdf["data"].tolist(), np.uint8), pdf["label"].to_numpy())
+    for path in (str(tmp_path / "a"), f"file:{tmp_path}/b"):
+        assert files.write_packed(df.repartition(3), path, pack, 4) == 10 and len(files.listed(path)) == 3
+        rows = netcdf.read_netcdf(spark, path).orderBy("id").collect()
+        assert [(r["id"], list(r["data"]), r["label"]) for r in rows] == [(i, [i, 200, 7], i % 3) for i in range(10)]
+    assert files.write_packed(df.limit(0), str(tmp_path / "c"), pack) == 0 and files.listed(str(tmp_path / "c")) == []
+
+
 def test_netcdf_refuses_others(tmp_path):
     (tmp_path / "x").write_bytes(b"nothing")
     with pytest.raises(ValueError):
