@@ -80,7 +80,10 @@ def pool_same_back(shape, at: np.ndarray, up: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """conv: features of each 5 by 5 convolution (with ReLU and pooling); hidden: widths of sigmoid layers; then softmax."""
+    """conv: features of each 5 by 5 convolution (with ReLU and pooling); hidden: widths of sigmoid (or ReLU) layers; then softmax.
+
+    With uniform, weights and biases are drawn up to sqrt(6 / (inputs + outputs)) of their layer; a convolution's are its channels.
+    """
 
     inputs: int
     classes: int
@@ -89,16 +92,24 @@ class Network:
     conv: list[int] = field(default_factory=list)
     size: int = 5
     seed: int = 0
+    relu: bool = False
+    uniform: bool = False
 
     def __post_init__(self):
         rng, self.params, shape = np.random.default_rng(self.seed), [], self.image
+
+        def drawn(shape: tuple[int, ...]) -> list[np.ndarray]:
+            most = (6 / (shape[-2] + shape[-1])) ** 0.5
+            return [rng.uniform(-most, most, shape), rng.uniform(-most, most, shape[-1])]
+
         for features in self.conv:
             h, w, c = shape
-            self.params += [truncated_normal(rng, (self.size, self.size, c, features), 0.1), np.full(features, 0.1)]
+            own = (self.size, self.size, c, features)
+            self.params += drawn(own) if self.uniform else [truncated_normal(rng, own, 0.1), np.full(features, 0.1)]
             shape = ((h + 1) // 2, (w + 1) // 2, features)
         width = int(np.prod(shape)) if self.conv else self.inputs
         for n in [*self.hidden, self.classes]:
-            self.params += [rng.normal(0, 1 / width, (width, n)), np.zeros(n)]
+            self.params += drawn((width, n)) if self.uniform else [rng.normal(0, 1 / width, (width, n)), np.zeros(n)]
             width = n
 
     def forward(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -117,7 +128,7 @@ class Network:
             z = x @ self.params[at] + self.params[at + 1]
             if keep is not None:
                 keep.append(x)
-            x, at = (sigmoid(z) if k < len(self.hidden) else softmax(z)), at + 2
+            x, at = (softmax(z) if k == len(self.hidden) else np.maximum(z, 0) if self.relu else sigmoid(z)), at + 2
         return x
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], float, int]:
@@ -133,7 +144,7 @@ class Network:
             out[at], out[at + 1] = own.T @ up, up.sum(0)
             up = up @ self.params[at].T
             if k:
-                up = up * own * (1 - own)
+                up = up * (own > 0) if self.relu else up * own * (1 - own)
             at -= 2
         for k in range(len(self.conv) - 1, -1, -1):
             own, z, places = keep[k]
@@ -193,13 +204,14 @@ def exponential_decay(rate: float, step: int, decay: float = 0.999964) -> float:
 
 @dataclass
 class Trainer:
-    """Gradient descent on averaged gradients, with optional momentum, L2 on weights, and a faster rate for biases."""
+    """Gradient descent on averaged gradients, with optional momentum, L2 on weights (and biases), and a faster rate for biases."""
 
     net: Network
     rate: float = 0.5
     momentum: float = 0.0
     l2: float = 0.0
     bias_rate: float = 1.0
+    l2_bias: float = 0.0
     schedule: object = None
 
     def __post_init__(self):
@@ -209,7 +221,7 @@ class Trainer:
         rate = self.rate if self.schedule is None else self.schedule(self.rate, self.step)
         for k, g in enumerate(sums):
             bias = k % 2
-            g = g / max(1, n) + (0 if bias else self.l2 * self.net.params[k])
+            g = g / max(1, n) + (self.l2_bias if bias else self.l2) * self.net.params[k]
             self.speed[k] = self.momentum * self.speed[k] - rate * (self.bias_rate if bias else 1.0) * g
             self.net.params[k] = self.net.params[k] + self.speed[k]
         self.step += 1
@@ -229,6 +241,12 @@ class Trainer:
         return history
 
 
+def lenet3(image: tuple[int, int, int] = (28, 28, 1), classes: int = 10, seed: int = 0) -> Trainer:
+    """Two convolutions of 20 and 50 features and a ReLU layer of 500, with the rates, momentum and decay that it is trained with."""
+    net = Network(int(np.prod(image)), classes, [500], image, [20, 50], seed=seed, relu=True, uniform=True)
+    return Trainer(net, rate=0.01, momentum=0.9, l2=1e-4, l2_bias=1e-4, schedule=lambda rate, step: inverse_time_decay(rate, step, 1, 1e-4))
+
+
 def n_full_batches(rows: int, size: int) -> int:
     return max(1, rows // size)
 

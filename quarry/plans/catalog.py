@@ -403,6 +403,12 @@ def svm_train_approximate(spark, sf_dir: str) -> DataFrame:
     return _trained(spark, sf_dir, svm.fit_approximate)
 
 
+@query()
+def svm_train_rounds(spark, sf_dir: str) -> DataFrame:
+    """The rounds that tables of more rows than one task takes go through, on these."""
+    return _trained(spark, sf_dir, lambda rows, *how: svm.fit_shrinking(rows, *how, bound=100))
+
+
 # dataset preparation
 
 _SPLIT = "n AS (SELECT count(*) AS n FROM labels), r AS (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM labels), s AS (SELECT doc_id, quality, pos, CASE WHEN pos < n - n * 10 // 100 - n * 20 // 100 THEN 'train' WHEN pos < n - n * 10 // 100 THEN 'validation' ELSE 'test' END AS part FROM r, n)"

@@ -176,7 +176,7 @@ def test_transform_images(spark):
 
 def test_network_gradients():
     rng = np.random.default_rng(0)
-    for net, x in ((network.Network(4, 3, [5]), rng.normal(size=(6, 4))), (network.Network(0, 3, [4], (5, 5, 2), [3, 2], 3), rng.normal(size=(6, 50)))):
+    for net, x in ((network.Network(4, 3, [5]), rng.normal(size=(6, 4))), (network.Network(0, 3, [4], (5, 5, 2), [3, 2], 3), rng.normal(size=(6, 50))), (network.Network(0, 3, [4], (5, 5, 2), [3], 3, relu=True, uniform=True), rng.normal(size=(6, 50)))):
         y = np.array([0, 1, 2, 0, 1, 2])
         grads, _, _ = net.gradients(x, y)
         for p, g in zip(net.params, grads):
@@ -206,6 +206,20 @@ def test_training(spark, parts):
     assert network.predict(df, net).filter("loss is null").count() == 0
 
 
+def test_lenet3(spark):
+    trainer = network.lenet3()
+    assert [p.shape for p in trainer.net.params] == [(5, 5, 1, 20), (20,), (5, 5, 20, 50), (50,), (2450, 500), (500,), (500, 10), (10,)]
+    assert all(np.abs(p).max() <= m for p, m in zip(trainer.net.params, np.repeat(np.sqrt([6 / 21, 6 / 70, 6 / 2950, 6 / 510]), 2)))
+    before = [p.copy() for p in trainer.net.params]
+    trainer.update([np.zeros_like(p) for p in before], 1)  # decay alone
+    assert all(np.allclose(p, b * (1 - 0.01 * 1e-4)) for p, b in zip(trainer.net.params, before))
+    rng = np.random.default_rng(1)
+    rows = [(i, (np.eye(8)[i % 2 * 5].repeat(8) + rng.normal(0, 0.1, 64)).tolist(), i % 2, 0) for i in range(40)]
+    small = network.lenet3((8, 8, 1), 2)
+    history = small.fit(spark.createDataFrame(rows, "id bigint, x array<double>, label int, batch int").repartition(2), 12, 1)
+    assert history[-1]["loss"] < history[0]["loss"] and history[-1]["accuracy"] == 100.0
+
+
 def test_schedules():
     assert network.step_decay(1.0, 20, 10) == pytest.approx(0.01)
     assert network.inverse_time_decay(1.0, 10, 10, 1.0) == 0.5
