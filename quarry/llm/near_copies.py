@@ -1,17 +1,25 @@
-"""Near copies by MinHash candidates and exact verification; the pipeline's near-duplicate stage.
+"""Near copies by SimHash candidates and exact verification; the pipeline's near-duplicate stage.
 
 Two texts are linked if the sets of their 5-word shingles have a Jaccard similarity of 0.8 at least; a component is what links
-reach. Words and short texts are as in `simhash`: bytes in lower case, and fewer than 5 words are one shingle. (64-bit SimHash
-cannot find such links: two sets at 0.8 differ in 10 bits on average and in up to 23, where 2 % of all unrelated pairs are too.)
+reach. Words and short texts are as in `simhash`: bytes in lower case, and fewer than 5 words are one shingle.
 
-Texts with equal sets are first folded into one. A set has BANDS keys of ROWS minima each of hashed shingles; sets that share a key meet in a
-bucket. A pair of similarity s shares no key with a probability of (1 - s^3)^20: 6e-7 at 0.8, less above. Buckets of the same
-members are one bucket. All similarities are computed from the whole sets, so no link is wrong:
+Texts with equal sets are first folded into one. A set's fingerprint is a SimHash of WORDS words of 64 bits: a bit is set if it
+is in over half of its shingles' hashes. At 0.8 a bit differs with a probability of 0.1613 at most (0.1875 for sets of 4 and 5),
+so 64 bits do not tell such pairs from others (10 differ on average and up to 23, as in 2 % of all unrelated pairs), but many do:
 
-1. Each member is held against the smallest member of its bucket, its hub. This settles groups of copies, however large, as
-   pairs that are dealt out evenly; a bucket whose members are all in one component then is done.
-2. In the other buckets, the members outside the hub's component are held against all. Blocks of at most BLOCK shingles of
-   either side make one piece of work, so none grows with its bucket; it gives a spanning forest of the components it joins.
+- The first word is a fingerprint as in `simhash`: its Gray-order index links what differs in 3 bits at most.
+- For links of more bits there are tables, each keyed by a few bits of the words after the first CHECK. A bucket has some thousand
+  sets, whatever the table's size; in it those that differ in at most MOST of the 256 bits of the first CHECK words meet in a group
+  (what such differences reach). `tables` takes as many as needed for a pair at 0.8 to share no bucket with a probability of
+  1e-6 (less above 0.8). It differs in more than MOST bits with one of 6e-10 (6e-7 for sets of 4 and 5). Unrelated sets are
+  closer than that with one of 1e-9.
+
+Groups of the same members are one group, and so are groups with members in common, up to WHOLE sets. All similarities are computed from the whole sets, so no link is wrong:
+
+1. Each member is held against the smallest member of its group, its hub. This settles groups of copies, however large, as
+   pairs that are dealt out evenly; a group whose members are all in one component then is done.
+2. In the other groups, the members outside the hub's component are held against all. Blocks of at most BLOCK shingles of
+   either side make one piece of work, so none grows with its group; it gives a spanning forest of the components it joins.
 
 Defined cases: a null text counts as empty, and texts without words are copies of each other; a very long text is compared by its whole set;
 ids, repeats, empty tables and columns as in `simhash`.
@@ -19,6 +27,8 @@ ids, repeats, empty tables and columns as in `simhash`.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -27,18 +37,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.shared import broadcast_if, cut, short_batches
-from quarry.llm.simhash import components, keep_first
+from quarry.llm.simhash import components, keep_first, links
 
 SIZE, LEAST = 5, 0.8
-BANDS, ROWS = 20, 3
+#: Words of a fingerprint; of these, the ones that are compared within a bucket, and the most bits that may differ there.
+WORDS, CHECK, MOST = 20, 4, 80
+#: The most that a bit differs at LEAST, and sets of 4 and 5 shingles, where it differs more.
+DIFFERS, DIFFERS_SMALL, SMALL = 0.1613, 0.1875, 5
+MISSED = 1e-6
+#: Sets of a bucket, on average at most; in buckets up to DENSE all pairs are compared.
+BUCKET, DENSE = 4096, 16384
+#: Sets of a group that takes the place of those it consists of.
+WHOLE = 4096
 #: Shingles of one side of a piece of work: 16 MB.
 BLOCK = 1 << 21
 #: What a member outside the hub's component counts for besides its shingles, as each is held against a whole block: 8192 at most in a piece.
 EACH = 256
 #: Pairs with the same hub that one task gets.
 SPREAD = 2048
-_RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
-FACTORS, SHIFTS = _RANDOM[0] | np.uint64(1), _RANDOM[1]
+_RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (3, WORDS), np.uint64, endpoint=False)
+FACTORS, SHIFTS, AGAIN = _RANDOM[0] | np.uint64(1), _RANDOM[1], _RANDOM[2] | np.uint64(1)
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -54,20 +72,107 @@ def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     return np.unique(np.fromiter((digest(said[s:e], 42) for s, e in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts)))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set that is not empty."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        least = np.minimum(least, (hashes[at : at + 2048, None] * FACTORS + SHIFTS).min(0))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS words whose bits are set where they are in over half of a set's hashes."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        h = hashes[at : at + 255, None] * FACTORS + SHIFTS
+        h ^= h >> np.uint64(31)
+        h *= AGAIN
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
-@F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+CODE = [f"c{k}" for k in range(CHECK)]
+_PRINT = [("fp", T.LongType()), ("n", T.LongType()), *[(c, T.LongType()) for c in CODE], ("rest", T.BinaryType())]
+
+
+@F.pandas_udf(T.StructType([T.StructField(*f) for f in _PRINT]))
 def _print_of(texts: pd.Series) -> pd.DataFrame:
     sets = [shingles(t) for t in texts]
     fps = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets), np.uint64, len(sets))
-    bands = [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-    return pd.DataFrame({"fp": fps.view(np.int64), "n": [len(s) for s in sets], "bands": bands})
+    words = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, WORDS)
+    codes = {c: words[:, k].view(np.int64) for k, c in enumerate(CODE)}
+    return pd.DataFrame({"fp": fps.view(np.int64), "n": [len(s) for s in sets], **codes, "rest": [w[CHECK:].tobytes() for w in words]})
+
+
+def tables(width: int, differs: float = DIFFERS) -> int:
+    """How many tables of keys of so many bits miss a pair with a probability of MISSED, where a bit of it differs with one of `differs`."""
+    if not width:
+        return 1
+    bits = 64 * (WORDS - CHECK)
+    n = math.ceil(math.log(MISSED) / math.log1p(-((1 - differs) ** width)))
+    if n * width <= bits:  # no bit is in two tables
+        return n
+    # tables share bits: by how many of all the bits differ
+    chance = [math.comb(bits, d) * differs**d * (1 - differs) ** (bits - d) for d in range(bits + 1)]
+    apart = np.array([1 - math.comb(bits - d, width) / math.comb(bits, width) for d in range(bits + 1)])
+    while (np.array(chance) * apart**n).sum() > MISSED:
+        n += 1 + n // 50
+    return n
+
+
+def key_bits(width: int, n: int) -> np.ndarray:
+    """The places of the bits that make the keys of n tables; every bit is taken once before one is taken again."""
+    rng, bits, out = np.random.default_rng(42), 64 * (WORDS - CHECK), []
+    while len(out) < n:
+        out += rng.permutation(bits)[: bits // max(width, 1) * width].reshape(-1, width).tolist() if width else [[]]
+    return np.array(out[:n], np.int64).reshape(n, width)
+
+
+def _keys(width: int):
+    """A table's number and a set's key in it as one number, for all tables; sets of at most SMALL shingles have more tables."""
+    few, many = tables(width), tables(width, DIFFERS_SMALL)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(rest: pd.Series, n: pd.Series) -> pd.Series:
+        bits = np.unpackbits(np.frombuffer(b"".join(rest), np.uint8).reshape(len(rest), -1), axis=1, bitorder="little")
+        places = key_bits(width, many)
+        out = np.broadcast_to(np.arange(many, dtype=np.int64), (len(rest), many))
+        for k in range(width):
+            out = out * 2 + bits[:, places[:, k]]
+        return pd.Series([row if small else row[:few] for row, small in zip(out, n <= SMALL)])
+
+    return keys
+
+
+def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    differ = sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]) for k in range(CHECK - 1))
+    return np.add(differ, np.bitwise_count(a[:, None, -1] ^ b[None, :, -1]), dtype=np.uint16) <= most
+
+
+def groups(codes: np.ndarray, most: int = MOST) -> np.ndarray:
+    """A label for each row of codes: which rows are reached from it by differences of at most `most` bits."""
+    n = len(codes)
+    labels, left = np.arange(n), np.arange(n)
+    if n <= DENSE:  # those that are close to no other go first
+        met, step = np.zeros(n, bool), max(1, (1 << 15) // max(n, 1))
+        for at in range(0, n, step):
+            close = _close(codes[at : at + step], codes[at:], most)
+            np.fill_diagonal(close, False)
+            if close.any():
+                met[at : at + step] |= close.any(axis=1)
+                met[at:] |= close.any(axis=0)
+        left = np.flatnonzero(met)
+    while len(left):  # many may be close: each is compared with what is left, as those reached are taken out
+        label, reached, left = left[0], left[:1], left[1:]
+        while len(reached) and len(left):
+            got = np.zeros(len(left), bool)
+            step = max(1, (1 << 15) // len(left))
+            for at in range(0, len(reached), step):
+                got |= _close(codes[reached[at : at + step]], codes[left], most).any(axis=0)
+            reached, left = left[got], left[~got]
+            labels[reached] = label
+    return labels
+
+
+def _grouped(pdf: pd.DataFrame) -> pd.DataFrame:
+    labels = groups(pdf[CODE].to_numpy(np.int64).view(np.uint64))
+    _, of, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    kept = sizes[of] > 1
+    fps = pdf["fp"].to_numpy(np.int64)
+    return pd.DataFrame({"v": pdf["v"].to_numpy()[kept], "g": fps[labels[kept]], "fp": fps[kept]})
 
 
 @F.pandas_udf(T.BinaryType())
@@ -161,15 +266,42 @@ def _rest_links(members: DataFrame, sets: DataFrame, roots: DataFrame, block: in
     return met.groupBy(*key).applyInPandas(_joined, "a bigint, b bigint").distinct()
 
 
+def _gray_groups(own: DataFrame) -> DataFrame:
+    """v, fp: sets of the same first word, and the first ones of two words that the Gray-order index links."""
+    word = cut(own.groupBy("c0").agg(F.min("fp").alias("fp")))
+    pairs = links(word.select(F.col("c0").alias("fp"))).select(F.xxhash64("a", "b").alias("v"), F.explode(F.array("a", "b")).alias("c0"))
+    return own.select(F.xxhash64("c0").alias("v"), "fp").union(pairs.join(broadcast_if(word, 1_000_000), "c0").select("v", "fp"))
+
+
+def _table_groups(own: DataFrame) -> DataFrame:
+    """v, fp: sets of a bucket that reach each other."""
+    n = own.count()
+    width = max(0, math.ceil(math.log2(max(n, 1) / BUCKET)))
+    dealt = own.select(F.explode(_keys(width)("rest", "n")).alias("v"), "fp", *CODE)
+    # buckets are few bytes and much work, so they are dealt out by number of tasks, not by size
+    dealt = dealt.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    return dealt.groupBy("v").applyInPandas(_grouped, "v bigint, g bigint, fp bigint").select(F.xxhash64("v", "g").alias("v"), "fp")
+
+
+def _merged(members: DataFrame) -> DataFrame:
+    """v, fp, hub: one group instead of all those that sets in common join, where it has WHOLE sets at most; else the groups as they are."""
+    whole = cut(components(members.select(F.col("fp").alias("a"), F.col("hub").alias("b"))))
+    few = broadcast_if(cut(whole.groupBy("root").agg((F.count("*") <= WHOLE).alias("few"))), 1_000_000)
+    of = cut(whole.withColumnRenamed("v", "fp").join(few, "root"))
+    apart = members.join(of.filter("not few").select("fp"), "fp", "left_semi").select("v", "fp", "hub")
+    return of.filter("few").select(F.col("root").alias("v"), "fp", F.col("root").alias("hub")).union(apart)
+
+
 def linked(docs: DataFrame, prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """v, root: the smallest set (fp) that links reach, for every set that has a link."""
-    dealt = prints.groupBy("fp").agg(F.first("bands").alias("bands"), F.first("n").alias("n")).select("fp", "n", F.explode("bands").alias("v"))
-    member = F.xxhash64("fp")
+    own = cut(prints.filter("n > 0").groupBy("fp").agg(F.min("tk").alias("tk"), *[F.first(c).alias(c) for c in ("n", *CODE, "rest")]))
+    dealt, member = cut(_gray_groups(own).union(_table_groups(own))), F.xxhash64("fp")
     met = dealt.groupBy("v").agg(F.count("*").alias("c"), F.bit_xor(member).alias("x"), F.min("fp").alias("hub"), F.max("fp").alias("l")).filter("c > 1")
     chosen = cut(met.groupBy("c", "x", "hub", "l").agg(F.min("v").alias("v")).select("v", "hub"))
-    members = cut(dealt.join(broadcast_if(chosen, 1_000_000), "v"))
+    sizes = broadcast_if(own.select("fp", "n"), 1_000_000)
+    members = cut(_merged(cut(dealt.join(broadcast_if(chosen, 1_000_000), "v"))).join(sizes, "fp").select("v", "fp", "n", "hub"))
     # the text of one row of each member; its hash finds it
-    wanted = cut(prints.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("tk").alias("tk")))
+    wanted = cut(own.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "tk"))
     texts = short_batches(docs).select(F.xxhash64("text").alias("tk"), "text").join(broadcast_if(wanted, 1_000_000), "tk")
     sets = cut(texts.groupBy("fp").agg(F.first("text").alias("text")).select("fp", _set_of("text").alias("shingles")))
     roots = cut(components(_hub_links(members, sets)))
@@ -182,9 +314,9 @@ def linked(docs: DataFrame, prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """id, tk (hash of the text), fp (hash of the set), n (its size), bands of each row, written once as computing them is the costly part."""
+    """id, tk (hash of the text), fp (hash of the set), n (its size) and the fingerprint of each row, written once as computing them is the costly part."""
     rows = short_batches(docs).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), _print_of(F.col("text")).alias("p"))
-    return cut(rows.select("id", "tk", "p.fp", "p.n", "p.bands"))
+    return cut(rows.select("id", "tk", "p.*"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
