@@ -176,10 +176,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _to_least(pairs: DataFrame) -> DataFrame:
-    """a, b: what stands beside `a` in pairs (a itself may) moves to the smallest of these."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    return pairs.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+def _to_least(pairs: DataFrame, moving: str = "true") -> DataFrame:
+    """a, b: a, and those beside it in pairs that are `moving`, move to the smallest of a and all beside it.
+
+    Pairs are distinct, of different nodes. The pair with the smallest stands for a itself, so no pair makes more than one row.
+    """
+    least = pairs.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    moved = pairs.join(least, "a").filter(f"{moving} or b = m")
+    return moved.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _pairs(edges: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
@@ -196,10 +200,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if roles.filter("d > 1 or d > 0 and u > 0").isEmpty():
             break
         # large star: a node and its larger neighbours move to the smallest of it and its neighbours; small star: the smaller ones do
-        two = _pairs(edges, ("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"))
-        least = two.groupBy("a").agg(F.min("b").alias("m"))
-        up = two.filter("b >= a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        edges = cut(_to_least(_pairs(up, ("a", "b"), ("a", "a"))))
+        up = _to_least(_pairs(edges, ("a", "b"), ("b", "a")), "b > a")
+        edges = cut(_to_least(up))
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b"))).distinct()
