@@ -1,12 +1,14 @@
 """Binary support vector machines with an RBF kernel, by sequential minimal optimisation.
 
 Rows: id, label (+1 or -1), vector. Up to `bound` rows the solver runs as one task over all rows; beyond, rounds
-take the most violating rows as a working set, solve that, and update the gradient of all rows where they stand.
+take the most violating rows as a working set, solve that, and update the gradient of all rows where they stand. There
+the vectors lie in blocks that are written once; what a round writes is labels, multipliers and gradients, without vectors.
 Sets by multiplier: 0 inside the box; 1 (+1) and 4 (-1) at zero; 3 (+1) and 2 (-1) at C.
 """
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from dataclasses import dataclass
 
@@ -21,6 +23,12 @@ from quarry.operators.topk import BLOCK, SENT, blocks, chunks, matrix
 ZERO, EPS, TOL, TIE = 1e-12, 1e-20, 1e-3, 1e-10
 #: Rows up to which one task solves the whole problem, and rows of a working set beyond that.
 BOUND, WORKING = 20_000, 1_000
+#: Rows of a kernel matrix at a time: 8 MB against a block of vectors.
+SLICE = 512
+#: Blocks of vectors in a partition: 32 MB at 64 dimensions.
+HELD = 32
+#: State of a block of vectors in the rounds; `first`, in one row of each task, has the task's candidates for the next working set.
+STATE = "tb int, ids binary, y binary, alpha binary, f binary, active binary, first binary"
 
 
 @dataclass
@@ -89,7 +97,17 @@ def shrink_stats(state: DataFrame) -> DataFrame:
 
 def kernel(x: np.ndarray, z: np.ndarray, sigmasqr: float) -> np.ndarray:
     """exp((2xz - xx - zz) / (2 sigmasqr)), rows of x by rows of z."""
-    return np.exp((2 * x @ z.T - (x * x).sum(1)[:, None] - (z * z).sum(1)[None, :]) / (2 * sigmasqr))
+    out = 2 * x @ z.T
+    out -= (x * x).sum(1)[:, None]
+    out -= (z * z).sum(1)[None, :]
+    out /= 2 * sigmasqr
+    return np.exp(out, out=out)
+
+
+def weighted(x: np.ndarray, z: np.ndarray, weight: np.ndarray, sigmasqr: float) -> np.ndarray:
+    """kernel(x, z) @ weight, by slices of x, so that no matrix is larger than a slice."""
+    parts = [kernel(x[at : at + SLICE], z, sigmasqr) @ weight for at in range(0, len(x), SLICE)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def pair_step(y1, y2, a1, a2, f1, f2, k11, k12, k22, c: float):
@@ -194,59 +212,156 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
 def fit(rows: DataFrame, c: float, sigmasqr: float, max_iter: int = 100_000, shrink: bool = False, reconstruct: bool = True, bound: int = BOUND, working: int = WORKING) -> Model:
     """Trains on all rows; `bound` decides between one task and rounds of working sets."""
     data = rows.select(F.col("id").cast("bigint").alias("id"), F.col("label").cast("double").alias("y"), F.col("vector").cast("array<double>").alias("vector"))
-    small = data.limit(bound + 1).toPandas()
-    if len(small) and not set(small["y"]) <= {1.0, -1.0}:
+    n_rows, bad = data.agg(F.count("*"), F.count_if(~F.coalesce(F.col("y").isin(1.0, -1.0), F.lit(False)))).first()
+    if bad:
         raise ValueError("a label must be +1 or -1")
-    if len(small) <= bound:
-        small = small.sort_values("id")
+    if n_rows <= bound:
+        small = data.toPandas().sort_values("id")
         x, y = _matrix(small), small["y"].to_numpy()
         alpha, f, n, up, low = smo(x, y, c, sigmasqr, max_iter, shrink=shrink, reconstruct=reconstruct)
         return Model(small["id"].to_numpy(), x, y, alpha, _threshold(alpha, f, c, up, low), sigmasqr, n, up, low, up >= low - 2 * TOL)
-    return _fit_rounds(data, c, sigmasqr, max_iter, working, shrink, reconstruct)
+    return _fit_rounds(data, n_rows, c, sigmasqr, max_iter, working, shrink, reconstruct)
 
 
-def _fit_rounds(data: DataFrame, c: float, sigmasqr: float, max_iter: int, working: int, shrink: bool, reconstruct: bool) -> Model:
+def _fit_rounds(data: DataFrame, n_rows: int, c: float, sigmasqr: float, max_iter: int, working: int, shrink: bool, reconstruct: bool) -> Model:
     """The same three variants as smo(), with all rows in a table. A round is one pass: a working set is solved, and every active row's f moves.
 
     With shrink, each round leaves out rows that cannot move; once the active ones agree, the gradients of those left out
     are computed anew and all go on, or (without reconstruct) it ends.
     """
-    state = cut(data.withColumns({"alpha": F.lit(0.0), "f": -F.col("y"), "active": F.lit(True)}))
+    packed = _packed(data, n_rows)
+    most = working // 2
+    state = cut(_each_block(packed, None, None, c, most))
     done, stuck, stuck_at = 0, False, None
     while True:
-        with_set = state.withColumn("setinfo", set_of(F.col("y"), F.col("alpha"), c))
-        moving = with_set.filter("active")
-        b = select_pair(moving).first()
-        agreed = b["b_up"] is None or b["b_low"] is None or b["b_up"] >= b["b_low"] - 2 * TOL
+        up, low = _candidates(state, most)
+        b_up, b_low = (float(rows[3][0]) if len(rows[3]) else None for rows in (up, low))
+        agreed = b_up is None or b_low is None or b_up >= b_low - 2 * TOL
         if agreed or stuck or done >= max_iter:
-            if shrink and reconstruct and agreed and not state.filter("not active").isEmpty():
-                state, shrink = cut(_reconstructed(state, sigmasqr)), False  # once all rows are back, the rest is plain
+            if shrink and reconstruct and agreed and not _rows(state).filter("not active").isEmpty():
+                state, shrink = _reconstructed(packed, state, c, sigmasqr, most), False  # once all rows are back, the rest is plain
                 continue
             break
-        up = moving.filter(F.col("setinfo").isin(0, 1, 2)).orderBy("f", "id").limit(working // 2)
-        low = moving.filter(F.col("setinfo").isin(0, 3, 4)).orderBy(F.col("f").desc(), "id").limit(working // 2)
-        block = up.union(low).toPandas().drop_duplicates("id").sort_values("id")  # at most `working` rows
-        x, y, before = _matrix(block), block["y"].to_numpy(), block["alpha"].to_numpy()
-        alpha, _, n, *_ = smo(x, y, c, sigmasqr, max_iter - done, before, block["f"].to_numpy())
+        ids, at = np.unique(np.concatenate([up[0], low[0]]), return_index=True)  # at most `working` rows
+        y, before, f, x = (np.concatenate(pair)[at] for pair in list(zip(up, low))[1:])
+        alpha, _, n, *_ = smo(x, y, c, sigmasqr, max_iter - done, before, f)
         done += n
         moved = alpha != before
-        at = (b["b_up"], b["b_low"], n)
+        at = (b_up, b_low, n)
         stuck, stuck_at = not moved.any() or at == stuck_at, at
         if moved.any():
-            after = _updated(state, block["id"].to_numpy()[moved], x[moved], (y * (alpha - before))[moved], alpha[moved], sigmasqr)
-            if shrink:
-                own = set_of(F.col("y"), F.col("alpha"), c)
-                gone = own.isin(3, 4) & (F.col("f") < b["b_up"]) | own.isin(1, 2) & (F.col("f") > b["b_low"])
-                after = after.withColumn("active", F.col("active") & ~gone)
-            state = cut(after)
+            how = _move(ids[moved], x[moved], (y * (alpha - before))[moved], alpha[moved], c, sigmasqr, (b_up, b_low) if shrink else None)
+            state = cut(_each_block(packed, state, how, c, most))
     none = np.zeros(0)
     if not agreed:
-        warnings.warn(f"training ended after {done} pair steps with a gap of {b['b_low'] - b['b_up']:.3g}", stacklevel=3)
-    return Model(none, none, none, none, threshold(with_set, c).first()["threshold"], sigmasqr, done, b["b_up"], b["b_low"], agreed, state)
+        warnings.warn(f"training ended after {done} pair steps with a gap of {b_low - b_up:.3g}", stacklevel=3)
+    with_set = _rows(state).withColumn("setinfo", set_of(F.col("y"), F.col("alpha"), c))
+    return Model(none, none, none, none, threshold(with_set, c).first()["threshold"], sigmasqr, done, b_up, b_low, agreed, _rows(state, packed))
+
+
+def _packed(data: DataFrame, n_rows: int) -> DataFrame:
+    """tb, tids, tv: blocks of rows, in each row the label and then the vector; dealt by block, so that a state meets them where they lie."""
+    n = max(1, -(-n_rows // BLOCK))
+    parts = min(n, max(data.sparkSession.sparkContext.defaultParallelism, -(-n // HELD)))
+    labelled = data.select("id", F.concat(F.array("y"), "vector").alias("vector"))
+    return cut(blocks(labelled, "t", n).repartition(parts, "tb").sortWithinPartitions("tb"))
+
+
+def _values(row, n: int) -> np.ndarray:
+    return np.frombuffer(row).reshape(n, -1)
+
+
+def _from_state(row) -> tuple[np.ndarray, ...]:
+    """ids, y, alpha, f, active; the last three can be written to."""
+    return np.frombuffer(row.ids, np.int64), np.frombuffer(row.y), np.frombuffer(row.alpha).copy(), np.frombuffer(row.f).copy(), np.frombuffer(row.active, bool).copy()
+
+
+def _each_block(packed: DataFrame, state: DataFrame | None, change, c: float, most: int) -> DataFrame:
+    """The state after change(x, ids, y, alpha, f, active), which gives alpha, f and active, in every block; without a state the one before training."""
+
+    def run(batches):
+        held, first = None, (None, None)
+        for pdf in batches:
+            for row in pdf.itertuples():
+                if held is not None:
+                    yield held
+                ids = np.frombuffer(row.tids, np.int64)
+                x = _values(row.tv, len(ids))[:, 1:]
+                if change is None:
+                    y = np.ascontiguousarray(_values(row.tv, len(ids))[:, 0])
+                    own = np.zeros(len(y)), -y, np.ones(len(y), bool)
+                else:
+                    _, y, *own = _from_state(row)
+                    own = change(x, ids, y, *own)
+                held = pd.DataFrame({"tb": [row.tb], **{k: [v.tobytes()] for k, v in zip(("ids", "y", "alpha", "f", "active"), (ids, y, *own))}, "first": [None]})
+                first = [_foremost([old, new], most, side) for old, new, side in zip(first, _extremes(x, ids, y, *own, c), (1, -1))]
+        if held is not None:
+            yield held.assign(first=[pickle.dumps(first)])
+
+    return (packed if state is None else packed.join(state, "tb")).mapInPandas(run, STATE)
+
+
+def _extremes(x, ids, y, alpha, f, active, c: float):
+    """id, y, alpha, f, vectors of the active rows of sets 0, 1, 2, and of those of sets 0, 3, 4."""
+    own = sets(y, alpha, c)
+    for among in ((0, 1, 2), (0, 3, 4)):
+        at = np.flatnonzero(active & np.isin(own, among))
+        yield ids[at], y[at], alpha[at], f[at], x[at]
+
+
+def _foremost(parts: list, most: int, side: int) -> tuple[np.ndarray, ...]:
+    """Of such rows those with the smallest (side 1) or largest (-1) f, then the lowest id, in this order."""
+    rows = [np.concatenate(own) for own in zip(*[p for p in parts if p is not None])]
+    at = np.lexsort((rows[0], side * rows[3]))[:most]
+    return tuple(own[at] for own in rows)
+
+
+def _candidates(state: DataFrame, most: int) -> list[tuple[np.ndarray, ...]]:
+    """id, y, alpha, f, vectors of the active rows with the smallest f over sets 0, 1, 2, and with the largest over sets 0, 3, 4."""
+    best = [None, None]
+    for row in state.select("first").filter(F.col("first").isNotNull()).collect():
+        best = [_foremost([old, new], most, side) for old, new, side in zip(best, pickle.loads(row["first"]), (1, -1))]
+    return best
+
+
+def _rows(state: DataFrame, packed: DataFrame | None = None) -> DataFrame:
+    """id, y, alpha, f, active of each row; with `packed` its vector too."""
+    with_vector = packed is not None
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                ids, y, alpha, f, active = _from_state(row)
+                out = pd.DataFrame({"id": ids, "y": y, "alpha": alpha, "f": f, "active": active})
+                yield out if not with_vector else out.assign(vector=list(_values(row.tv, len(ids))[:, 1:]))
+
+    schema = "id bigint, y double, alpha double, f double, active boolean"
+    return packed.join(state, "tb").mapInPandas(run, schema + ", vector array<double>") if with_vector else state.mapInPandas(run, schema)
+
+
+def _move(ids, x, change, alpha, c: float, sigmasqr: float, shrink: tuple[float, float] | None):
+    """For _each_block: f of every active row moves by the kernel with the rows that changed; those get their new multipliers.
+
+    shrink: b_up and b_low, by which rows that cannot move are left out.
+    """
+    order = np.argsort(ids)
+    at_ids, at_alpha = ids[order], alpha[order]
+
+    def moved(own, own_ids, y, a, f, active):
+        if active.any():
+            f[active] += weighted(own[active], x, change, sigmasqr)
+        place = np.minimum(np.searchsorted(at_ids, own_ids), len(at_ids) - 1)
+        a = np.where(at_ids[place] == own_ids, at_alpha[place], a)
+        if shrink:
+            own_set = sets(y, a, c)
+            active &= ~(np.isin(own_set, (3, 4)) & (f < shrink[0]) | np.isin(own_set, (1, 2)) & (f > shrink[1]))
+        return a, f, active
+
+    return moved
 
 
 def _updated(state: DataFrame, ids, x, change, alpha, sigmasqr: float) -> DataFrame:
-    """f of every active row moves by the kernel with the rows that changed; those get their new multipliers."""
+    """A round's update of a table of rows: f of every active row moves by the kernel with the rows that changed; those get their new multipliers."""
     new = dict(zip(ids.tolist(), alpha.tolist()))
 
     def run(batches):
@@ -254,19 +369,36 @@ def _updated(state: DataFrame, ids, x, change, alpha, sigmasqr: float) -> DataFr
             if len(pdf):
                 on, f = pdf["active"].to_numpy(bool), pdf["f"].to_numpy(np.float64, copy=True)
                 if on.any():
-                    f[on] += kernel(_matrix(pdf[on]), x, sigmasqr) @ change
+                    f[on] += weighted(_matrix(pdf[on]), x, change, sigmasqr)
                 yield pdf.assign(f=f, alpha=[new.get(i, a) for i, a in zip(pdf["id"], pdf["alpha"])])
 
     return state.mapInPandas(run, state.schema)
 
 
-def _reconstructed(state: DataFrame, sigmasqr: float) -> DataFrame:
+def _reconstructed(packed: DataFrame, state: DataFrame, c: float, sigmasqr: float, most: int) -> DataFrame:
     """All rows active; those that were not get their gradient anew from the support vectors."""
-    sv = state.filter(F.col("alpha") > ZERO).select("id", (F.col("alpha") * F.col("y")).alias("weight"), "vector")
-    out = state.filter("not active")
-    found = decision_in_blocks(out.withColumn("label", F.col("y")), sv, 0.0, sigmasqr, keep=["y", "vector", "alpha"])
-    again = found.select("id", "y", "vector", "alpha", (F.col("f") - F.col("y")).alias("f"), F.lit(True).alias("active"))
-    return state.filter("active").select(*again.columns).unionByName(again)
+    support = _rows(state, packed).filter(F.col("alpha") > ZERO).select("id", F.concat("vector", F.array(F.col("alpha") * F.col("y"))).alias("vector"))
+    n = max(1, -(-_rows(state).filter(F.col("alpha") > ZERO).count() // BLOCK))
+
+    def emptied(own, ids, y, alpha, f, active):
+        return alpha, np.where(active, f, 0.0), active
+
+    def adding(chunk):
+        def added(own, ids, y, alpha, f, active):
+            out = ~active
+            for _, sv in chunk.value if out.any() else []:
+                f[out] += weighted(own[out], sv[:, :-1], sv[:, -1], sigmasqr)
+            return alpha, f, active
+
+        return added
+
+    def back(own, ids, y, alpha, f, active):
+        return alpha, np.where(active, f, f - y), np.ones(len(y), bool)
+
+    out = cut(_each_block(packed, state, emptied, c, most))
+    for chunk in chunks(blocks(support, "t", n), "t", n, SENT):
+        out = cut(_each_block(packed, out, adding(chunk), c, most))
+    return cut(_each_block(packed, out, back, c, most))
 
 
 def gradient(rows: DataFrame, model: Model) -> DataFrame:
@@ -286,7 +418,7 @@ def decision(rows: DataFrame, model: Model, threshold: float | None = None) -> D
     def value(v: pd.Series) -> pd.Series:
         if not len(v) or not len(sv):
             return pd.Series(np.full(len(v), -t))
-        return pd.Series(kernel(np.array(v.tolist(), dtype=np.float64), sv, sigmasqr) @ weight - t)
+        return pd.Series(weighted(np.array(v.tolist(), dtype=np.float64), sv, weight, sigmasqr) - t)
 
     return rows.select("id", F.col("label").cast("double").alias("label"), value(F.col("vector").cast("array<double>")).alias("f"))
 
@@ -307,14 +439,14 @@ def decision_in_blocks(rows: DataFrame, support: DataFrame, threshold: float, si
                 if len(pdf):
                     own, f = matrix(pdf["vector"]), pdf["f"].to_numpy(np.float64, copy=True)
                     for _, sv in chunk.value:
-                        f += kernel(own, sv[:, :-1], sigmasqr) @ sv[:, -1]
+                        f += weighted(own, sv[:, :-1], sv[:, -1], sigmasqr)
                     yield pdf.assign(f=f)
 
         return lambda df: df.mapInPandas(run, schema)
 
     for k, chunk in enumerate(chunks(blocks(heavier, "t", n), "t", n, sent)):
         out = adding(chunk, out.schema)(out)
-        if k % 8 == 7:
+        if k % 2:  # each chunk in a plan has a Python process of its own for every task
             out = cut(out)
     return out.select("id", "label", *(keep or []), (F.col("f") - threshold).alias("f"))
 
